@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("basics", "cleaning")
+MODULES = ("basics", "cleaning", "profiles", "textual")
 
 
 def load():

@@ -6,17 +6,22 @@ from pyspark.sql import functions as F
 
 from profilerec.catalog.registry import CUST, EV, ORD, PROD, register
 from profilerec.functions import rules, text
-from profilerec.operators import clean, history, journey, ordering, persona, rfm, stats
+from profilerec.operators import cf, clean, history, journey, ordering, persona, rfm, stats
 from profilerec.sources import adapters as A
 
-# RFM of the order log as SQL, with a given cluster id.
-RFM = f"""{ORD}, {CUST}, rfm AS (SELECT user_id,
-  datesub('day', max(ts), (SELECT max(ts) FROM od)) AS recency,
+
+
+def rfm_sql(log):
+    """RFM per user of a log CTE; expects ``cust``."""
+    return f"""rfm AS (SELECT user_id, datesub('day', max(ts), (SELECT max(ts) FROM {log})) AS recency,
   count(*) FILTER (WHERE event_type = 'purchase') AS frequency,
   coalesce(any_value(spend), 0.0::DOUBLE) AS monetary,
   count(DISTINCT CASE WHEN event_type IN ('view', 'like') THEN product_id END) AS involvement_diversity
-  FROM od LEFT JOIN cust USING (user_id) GROUP BY user_id)"""
-SEG = f"""{RFM}, rc AS (SELECT *, CAST(CAST(user_id AS BIGINT) % 6 AS INTEGER) AS behavior_cluster FROM rfm),
+  FROM {log} LEFT JOIN cust USING (user_id) GROUP BY user_id)"""
+
+
+# Segments of ``rfm`` with a given cluster id.
+SEGMENTS = """rc AS (SELECT *, CAST(CAST(user_id AS BIGINT) % 6 AS INTEGER) AS behavior_cluster FROM rfm),
 med AS (SELECT median(recency) AS mr, median(frequency) AS mf, median(monetary) AS mm,
   median(involvement_diversity) AS mi FROM rc),
 cm AS (SELECT behavior_cluster, round(avg(recency), 3) AS recency, round(avg(frequency), 3) AS frequency,
@@ -27,6 +32,8 @@ seg AS (SELECT behavior_cluster, CASE
   WHEN recency > mr AND monetary >= mm AND frequency >= mf THEN 'At-Risk High-Value'
   WHEN recency <= mr AND frequency < mf AND involvement_diversity >= mi THEN 'New Explorer'
   WHEN recency > mr AND frequency < mf THEN 'Dormant' ELSE 'Regular' END AS behavior_cluster_label FROM cm, med)"""
+RFM = f"{ORD}, {CUST}, {rfm_sql('od')}"
+SEG = f"{RFM}, {SEGMENTS}"
 
 
 def order_rfm(spark, sf):
@@ -158,9 +165,10 @@ def _(spark, sf):
     return journey.trailing_session_counts(A.interactions_ev(spark, sf), A.EVENT_ORDER)
 
 
-def _journey_sql(log_cte, log, order):
+def journey_sql(log, order):
+    """Journey profiles of a log CTE, without their duplicate stage column."""
     desc = ", ".join(f"{c} DESC" for c in order)
-    return f"""{log_cte}, {_SESSION.format(log=log)}, lst AS (SELECT * FROM (SELECT *, row_number() OVER
+    return f"""{_SESSION.format(log=log)}, lst AS (SELECT * FROM (SELECT *, row_number() OVER
   (PARTITION BY user_id ORDER BY ts DESC, {desc}) AS rn FROM {log}) WHERE rn = 1),
 j AS (SELECT user_id, product_id AS last_interacted_product_id, event_type AS last_interaction_type,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_interaction_timestamp, session_view_count, session_like_count,
@@ -173,8 +181,8 @@ js AS (SELECT *, CASE WHEN days_since_last >= 60 THEN 'Dormant' WHEN last_intera
   AS current_journey_stage FROM j)"""
 
 
-JOURNEY_EV = _journey_sql(EV, "ev", ["event_id"])
-JOURNEY_ORD = _journey_sql(ORD, "od", A.ORDER_ORDER)
+JOURNEY_EV = f"{EV}, {journey_sql('ev', ['event_id'])}"
+JOURNEY_ORD = f"{ORD}, {journey_sql('od', A.ORDER_ORDER)}"
 
 
 @register("journey_profiles", f"WITH {JOURNEY_ORD} SELECT *, current_journey_stage AS journey_stage FROM js")
@@ -348,11 +356,7 @@ def _(spark, sf):
 
 # Personas of all customers over the event log as SQL.
 ITEMS_EV = _items_sql(EV, "ev")
-PERSONA = f"""{ITEMS_EV}, {CUST}, rfm AS (SELECT user_id, datesub('day', max(ts), (SELECT max(ts) FROM ev)) AS recency,
-  count(*) FILTER (WHERE event_type = 'purchase') AS frequency, coalesce(any_value(spend), 0.0::DOUBLE) AS monetary,
-  count(DISTINCT CASE WHEN event_type IN ('view', 'like') THEN product_id END) AS involvement_diversity
-  FROM ev LEFT JOIN cust USING (user_id) GROUP BY user_id),
-{SEG.split(', ', 1)[1].split('rfm AS (', 1)[1].split('GROUP BY user_id), ', 1)[1]},
+PERSONA = f"""{ITEMS_EV}, {CUST}, {rfm_sql('ev')}, {SEGMENTS},
 {TASTE}, cin AS (SELECT user_id, rank AS pos, category AS v FROM items), nin AS (SELECT user_id, rank AS pos, name AS v FROM items),
 {top_terms_sql('cin', 'user_id', 'v', 3, 'ct')}, {top_terms_sql('nin', 'user_id', 'v', 3, 'nt')},
 kw AS (SELECT user_id, {norm_sql("list_concat(ct.terms, nt.terms)", 4)} AS terms FROM ct JOIN nt USING (user_id)),
@@ -402,8 +406,7 @@ def _(spark, sf):
 
 
 @register("user_profile_text", f"""
-WITH {PERSONA}, {JOURNEY_EV.split(', ', 1)[1].split(' FROM events), ', 1)[1]}
-SELECT user_id, persona || ' [SEP] ' || interest_keywords || ' [SEP] ' || purchase_motive || ' [SEP] ' || cats ||
+WITH {PERSONA}, {journey_sql('ev', ['event_id'])} SELECT user_id, persona || ' [SEP] ' || interest_keywords || ' [SEP] ' || purchase_motive || ' [SEP] ' || cats ||
   ' [SEP] ' || coalesce(current_journey_stage, 'Unknown') AS user_text FROM pers LEFT JOIN js USING (user_id)""")
 def _(spark, sf):
     stages = journey.journey_profiles(A.interactions_ev(spark, sf), A.EVENT_ORDER)
@@ -429,8 +432,6 @@ def _(spark, sf):
 WITH {ORD}, b AS (SELECT product_id, count(*) AS n FROM od WHERE event_type = 'purchase' GROUP BY 1)
 SELECT product_id, round(n / (SELECT sum(n) FROM b), 8) AS popularity FROM b""")
 def _(spark, sf):
-    from profilerec.operators import cf
-
     return cf.popularity(A.interactions_ord(spark, sf)).select("product_id", F.round("popularity", 8).alias("popularity"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
@@ -74,6 +75,12 @@ def vectors(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFr
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
 
 
+def few_partitions(df: DataFrame, n_rows: int, rows_per_partition: int = 100_000) -> DataFrame:
+    """Joins near-empty partitions of an iterative input; larger inputs keep theirs."""
+    wanted = max(1, -(-n_rows // rows_per_partition))
+    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+
+
 def kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42, n_init: int = 10,
            max_iter: int = 300, cluster: str = "cluster") -> tuple[KMeansModel, float]:
     """Best of ``n_init`` seeded fits by training cost."""
@@ -108,14 +115,18 @@ def choose_k(ks: Sequence[int], inertias: Sequence[float]) -> int:
 def behavior_clusters(rfm: DataFrame, seed: int = 42, n_init: int = 10,
                       k_range: tuple[int, int] = (5, 7)) -> tuple[DataFrame, DataFrame]:
     """Users with ``behavior_cluster``, and the (k, inertia, chosen) table behind the choice."""
-    scaled = vectors(minmax_scale(rfm, FEATURES), [f"{c}_scaled" for c in FEATURES]).persist()
+    held = vectors(minmax_scale(rfm, FEATURES), [f"{c}_scaled" for c in FEATURES]).persist()
     try:
-        ks = candidate_ks(scaled.count(), k_range)
-        fits = {k: kmeans(scaled, k, seed=seed, n_init=n_init, cluster="behavior_cluster") for k in ks if k > 1}
+        n_users = held.count()
+        ks = candidate_ks(n_users, k_range)
+        scaled = few_partitions(held, n_users)
+        with ThreadPoolExecutor(max_workers=len(ks)) as pool:
+            runs = {k: pool.submit(kmeans, scaled, k, "features", seed, n_init, 300, "behavior_cluster") for k in ks if k > 1}
+            fits = {k: run.result() for k, run in runs.items()}
         inertias = [fits[k][1] if k in fits else 0.0 for k in ks]
         chosen = choose_k(ks, inertias)
     finally:
-        scaled.unpersist()
+        held.unpersist()
     curve = rfm.sparkSession.createDataFrame(
         [(k, float(v), k == chosen) for k, v in zip(ks, inertias)], "k int, inertia double, chosen boolean"
     )

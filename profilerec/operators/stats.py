@@ -13,41 +13,39 @@ FETCH_ROWS = 10_000
 BINS = 4096
 
 
-def kth_value(df: DataFrame, value: Column, k: int, fetch_rows: int = FETCH_ROWS) -> tuple[float, int, int]:
+def kth_value(
+    df: DataFrame, value: Column, k: int, fetch_rows: int = FETCH_ROWS, passes: dict | None = None
+) -> tuple[float, int, int]:
     """Value at 0-based rank ``k`` of the non-null values, with the counts below and equal to it.
 
     Counts per bin narrow the range until few rows are left. Every pass is a map-side combined
     count; the driver holds one row of bins, so a value shared by most rows is only a tall bin.
+    ``passes`` keeps counts already made, for several ranks of the same values.
     """
+    passes = {} if passes is None else passes
     values = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    first = values.agg(F.min("v"), F.max("v")).first()
-    low, high, below = first[0], first[1], 0
-    while low != high:
-        inside = values.where((F.col("v") >= low) & (F.col("v") <= high))
-        width = (high - low) / BINS
-        bin_no = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
-        bins = (
-            inside.groupBy(bin_no.alias("bin"))
-            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("bin")
-            .collect()
-        )
-        for row in bins:
+    if "range" not in passes:
+        passes["range"] = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    low, high, n_inside = passes["range"]
+    below = 0
+    while True:
+        if low == high:
+            return low, below, n_inside
+        exact = n_inside <= fetch_rows
+        key = (low, high)
+        if key not in passes:
+            inside = values.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+            width = (high - low) / BINS
+            bin_no = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
+            counted = inside.groupBy((F.col("v") if exact else bin_no).alias("bin")).agg(
+                F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+            )
+            passes[key] = sorted(counted.collect(), key=lambda r: r["bin"])
+        for row in passes[key]:
             if below + row["n"] > k:
-                low, high, in_bin = row["lo"], row["hi"], row["n"]
+                low, high, n_inside = row["lo"], row["hi"], row["n"]
                 break
             below += row["n"]
-        if low != high and in_bin <= fetch_rows:
-            counts = (
-                values.where((F.col("v") >= low) & (F.col("v") <= high))
-                .groupBy("v").count().orderBy("v").collect()
-            )
-            for row in counts:
-                if below + row["count"] > k:
-                    return row["v"], below, row["count"]
-                below += row["count"]
-    equal = values.where(F.col("v") == F.lit(low)).count()
-    return low, below, equal
 
 
 def exact_quantiles(
@@ -68,6 +66,7 @@ def exact_quantiles(
     out: dict[str, list[float | None]] = {}
     for c in cols:
         found: dict[int, float] = {}
+        passes: dict = {}
         result: list[float | None] = []
         for p in probs:
             if counts[c] == 0:
@@ -76,7 +75,7 @@ def exact_quantiles(
             position = (counts[c] - 1) * p
             for rank in (math.floor(position), math.ceil(position)):
                 if rank not in found:
-                    found[rank] = kth_value(numeric, F.col(c), rank)[0]
+                    found[rank] = kth_value(numeric, F.col(c), rank, passes=passes)[0]
             lower, upper = found[math.floor(position)], found[math.ceil(position)]
             result.append(lower + (upper - lower) * (position - math.floor(position)))
         out[c] = result
