@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from profilerec.session import cut_lineage
+
 BLOCK_ROWS = 2048
 
 
@@ -84,6 +86,8 @@ def top_scores(
     ``seen`` are left out, and with ``min_score`` only scores above it count.
     """
     names = list(views)
+    # Counted and then used twice, so the vectors are written once.
+    left, right = cut_lineage(left.select(left_id, *names)), cut_lineage(right.select(right_id, *names))
     n_left, n_right = block_count(left, block_rows), block_count(right, block_rows)
     left_block = F.pmod(F.xxhash64(left_id), F.lit(n_left)).cast("int")
     right_block = F.pmod(F.xxhash64(right_id), F.lit(n_right)).cast("int")

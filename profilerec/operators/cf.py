@@ -90,7 +90,7 @@ def recommend_popular(users: DataFrame, ranked: DataFrame, k: int, seen: DataFra
         need = users.join(counts, "user_id", "left").select(
             "user_id", (F.coalesce("_n", F.lit(0)) + k).alias("need")
         )
-    slots = need.select("user_id", F.explode(F.sequence(F.lit(1), F.col("need"))).cast("bigint").alias("pop_rank"))
+    slots = need.select("user_id", F.explode(F.sequence(F.lit(1), F.col("need"))).alias("pop_rank"))
     open_items = exclude_seen(slots.join(ranked.select("product_id", "pop_rank"), "pop_rank"), seen)
     return head_per_group(open_items, ["user_id"], ["pop_rank"], k).select("user_id", "product_id", "rank")
 
@@ -138,7 +138,7 @@ def _block_dots(pairs: DataFrame, block_rows: int) -> DataFrame:
         F.least("mine", "other").alias("ba"), F.greatest("mine", "other").alias("bb"),
     )
 
-    def multiply(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _ub, ba, bb = key
         users, u = np.unique(pdf["user_id"].to_numpy(dtype=str), return_inverse=True)
         items, i = np.unique(pdf["product_id"].to_numpy(dtype=str), return_inverse=True)
@@ -257,13 +257,15 @@ def cold_vectors(ids: DataFrame, known: DataFrame, key: str, rank: int, tail: Se
 
 
 def nmf(pairs: DataFrame, rank: int = 20, iterations: int = 50, tol: float = 1e-4, seed: int = 42,
-        checkpoint_every: int = 5) -> tuple[DataFrame, DataFrame, int, list[float]]:
+        check_every: int = 5) -> tuple[DataFrame, DataFrame, int, list[float]]:
     """Non-negative factors of the zero-filled rating matrix, and the loss after each check.
 
     Multiplicative updates only need the stored cells: the product with the data matrix is a
-    weighted vector sum per row, and the zeros enter through the rank x rank Gram matrix. Factors
-    are checkpointed every few rounds. Stops when the loss falls by less than ``tol``.
+    weighted vector sum per row, and the zeros enter through the rank x rank Gram matrix. Each new
+    factor table is checkpointed: it is small next to the data, and the plan does not grow from
+    round to round. Stops when the loss falls by less than ``tol``.
     """
+    pairs = cut_lineage(pairs.select("user_id", "product_id", "rating"))
     sizes = pairs.agg(
         F.countDistinct("user_id"), F.countDistinct("product_id"), F.sum("rating"), F.sum(F.col("rating") ** 2)
     ).first()
@@ -308,7 +310,8 @@ def nmf(pairs: DataFrame, rank: int = 20, iterations: int = 50, tol: float = 1e-
             v, t = np.vstack(vec.to_numpy()), np.vstack(target.to_numpy())
             return pd.Series(list(v * t / np.maximum(v @ weights, 1e-12)))
 
-        return factors.join(projected(other, key, other_key), key).select(key, step("vec", "target").alias("vec"))
+        moved = factors.join(projected(other, key, other_key), key).select(key, step("vec", "target").alias("vec"))
+        return cut_lineage(moved)
 
     def loss(users: DataFrame, items: DataFrame) -> float:
         crossed = users.join(projected(items, "user_id", "product_id"), "user_id").agg(
@@ -316,12 +319,11 @@ def nmf(pairs: DataFrame, rank: int = 20, iterations: int = 50, tol: float = 1e-
         ).first()[0]
         return float(squares - 2 * crossed + np.sum(gram(users) * gram(items)))
 
-    users, items, losses = start("user_id"), start("product_id"), []
+    users, items, losses = cut_lineage(start("user_id")), cut_lineage(start("product_id")), []
     for i in range(iterations):
         users = updated(users, items, "user_id", "product_id")
         items = updated(items, users, "product_id", "user_id")
-        if (i + 1) % checkpoint_every == 0 or i + 1 == iterations:
-            users, items = cut_lineage(users), cut_lineage(items)
+        if (i + 1) % check_every == 0 or i + 1 == iterations:
             losses.append(loss(users, items))
             if len(losses) > 1 and losses[-2] - losses[-1] < tol * abs(losses[0]):
                 break

@@ -12,6 +12,7 @@ from profilerec.operators.blocks import top_scores
 from profilerec.operators.cf import exclude_seen, topk_per_user
 from profilerec.operators.clean import factorize, tercile_bucket
 from profilerec.operators.stats import medians
+from profilerec.session import cut_lineage
 
 FEATURE_COLUMNS = (
     "cf_score", "llm_score", "hybrid_score", "cf_weight", "llm_weight", "behavior_cluster",
@@ -84,7 +85,10 @@ def candidate_features(
     profiles: one row per user; products: the candidate catalog; stages: user_id and
     current_journey_stage; preferred: user_id and preferred_cluster.
     """
-    users = profiles.select(
+    # Small tables that several statistics read: written once.
+    stages = cut_lineage(stages.select("user_id", "current_journey_stage"))
+    products = cut_lineage(products)
+    users = cut_lineage(profiles.select(
         "user_id",
         F.coalesce("involvement_diversity", F.lit(0)).cast("double").alias("involvement_diversity"),
         F.coalesce("behavior_cluster_label", F.lit("Unclassified")).alias("behavior_cluster_label"),
@@ -93,7 +97,7 @@ def candidate_features(
         F.coalesce("gender", F.lit("Unknown")).alias("gender"),
         F.coalesce("interest_keywords", F.lit("")).alias("interest_keywords"),
         F.coalesce("spend", F.lit(0.0)).alias("spend"),
-    )
+    ))
     middle = medians(users, ["involvement_diversity"])["involvement_diversity"] or 0.0
     price = medians(products, ["price"])["price"] or 0.0
     user_side = tercile_bucket(users, "spend", "spend_bucket").join(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from profilerec.functions.text import ENGLISH_STOPWORDS, words
 from profilerec.operators.blocks import sparse, top_scores
 from profilerec.operators.ordering import global_row_index, head_per_group
+from profilerec.session import cut_lineage
 
 
 def term_counts(docs: DataFrame, key: str, text: str, stopwords: Sequence[str] = ENGLISH_STOPWORDS) -> DataFrame:
@@ -125,9 +126,9 @@ def text_vectors(
     ``users`` has user_id and user_text, ``items`` product_id and product_text. The vocabulary has
     at most ``max_features`` terms.
     """
-    item_counts = term_counts(items, "product_id", "product_text", stopwords)
+    item_counts = cut_lineage(term_counts(items, "product_id", "product_text", stopwords))
     vocab = vocabulary(item_counts, items.agg(F.count("*")).scalar(), max_features, min_df, max_df)
-    vocab = global_row_index(vocab, ["term"], "term_no")
+    vocab = global_row_index(cut_lineage(vocab), ["term"], "term_no")
     user_counts = term_counts(users, "user_id", "user_text", stopwords)
     return (
         sparse(weighted_terms(user_counts, vocab, "user_id"), "user_id"),
