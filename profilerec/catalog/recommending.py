@@ -329,7 +329,7 @@ def _(spark, sf):
 WITH {FEATURES} SELECT user_id, product_id, round(hybrid_score, 6) AS reranked_score, CAST(rn AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(hybrid_score, 9) DESC, product_id) AS rn FROM ft) WHERE rn <= 10""")
 def _(spark, sf):
-    ranked = rank.rank_fallback(ev_features(spark, sf)).withColumn("reranked_score", F.round("reranked_score", 9))
+    ranked = rank.rank_fallback(ev_features(spark, sf))
     return rounded(hybrid.final_top_n(ranked, 10), "reranked_score").select(
         "user_id", "product_id", "reranked_score", "rank")
 

@@ -144,6 +144,6 @@ def candidate_features(
     return rows.drop("spend", "spend_bucket", "price_bucket", "preferred_cluster", "interest_keywords", "tfidf_keywords")
 
 
-def final_top_n(ranked: DataFrame, n: int = 10, score: str = "reranked_score") -> DataFrame:
-    order = W.partitionBy("user_id").orderBy(F.desc(score), "product_id")
+def final_top_n(ranked: DataFrame, n: int = 10, score: str = "reranked_score", digits: int = 9) -> DataFrame:
+    order = W.partitionBy("user_id").orderBy(F.round(score, digits).desc(), "product_id")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
