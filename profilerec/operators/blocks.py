@@ -65,6 +65,24 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return (above | (tied & (np.cumsum(tied, axis=1) <= room))) & np.isfinite(scores)
 
 
+def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, fn, schema: str,
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Runs ``fn(left block, right block)`` once for every pair of blocks."""
+    n_left, n_right = block_count(left, block_rows), block_count(right, block_rows)
+    lb = F.pmod(F.xxhash64(left_id), F.lit(n_left)).cast("int")
+    rb = F.pmod(F.xxhash64(right_id), F.lit(n_right)).cast("int")
+    rows = left.withColumn("_lb", lb).withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
+    columns = right.withColumn("_rb", rb).withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+    return rows.groupBy("_lb", "_rb").cogroup(columns.groupBy("_lb", "_rb")).applyInPandas(fn, schema)
+
+
+def distances(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Euclidean distances of two series of equally long vectors."""
+    x, y = np.vstack(a.to_numpy()).astype(float), np.vstack(b.to_numpy()).astype(float)
+    squared = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T)
+    return np.sqrt(np.maximum(squared, 0.0))
+
+
 def top_scores(
     left: DataFrame,
     right: DataFrame,
