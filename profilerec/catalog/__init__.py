@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("basics", "cleaning", "profiles", "textual", "recommending", "evaluating", "clustering", "streams")
+MODULES = ("basics", "cleaning", "profiles", "textual", "recommending", "evaluating", "clustering", "streams", "flows")
 
 
 def load():

@@ -262,7 +262,7 @@ def nmf(pairs: DataFrame, rank: int = 20, iterations: int = 50, tol: float = 1e-
 
     Multiplicative updates only need the stored cells: the product with the data matrix is a
     weighted vector sum per row, and the zeros enter through the rank x rank Gram matrix. Each new
-    factor table is checkpointed: it is small next to the data, and the plan does not grow from
+    factor table is written: it is small next to the data, and the plan does not grow from
     round to round. Stops when the loss falls by less than ``tol``.
     """
     pairs = cut_lineage(pairs.select("user_id", "product_id", "rating"))

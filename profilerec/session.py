@@ -42,7 +42,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/profilerec/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint; the result survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "step"):
+    """The rows as a new table in the shared folder; the result survives the loss of any executor.
+
+    A written table also gives the next plan real sizes, and unlike a checkpoint carries none of
+    the partitioning and constraints of the old plan, which grow in iterative operators.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
