@@ -62,7 +62,10 @@ def ctfidf_keywords(
     The cluster text is never built; tokens are counted by cluster. Unit-length TF-IDF rows are
     scaled to sum 1 and weighted by ln((average row sum + 1) / (clusters with the term + 1)) + 1.
     """
-    counts = term_counts(docs.where(F.col(cluster) >= 0) if cluster == "major_cluster" else docs, cluster, text, stopwords)
+    if cluster == "major_cluster":
+        docs = docs.where(F.col(cluster) >= 0)
+    # One row per cluster and term, read several times below, while the texts are read once.
+    counts = cut_lineage(term_counts(docs, cluster, text, stopwords))
     n_clusters = counts.agg(F.countDistinct(cluster)).scalar()
     raw = counts.join(vocabulary(counts, n_clusters), "term").withColumn("raw", F.col("tf") * F.col("idf"))
     sums = raw.groupBy(cluster).agg(
