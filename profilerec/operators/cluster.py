@@ -298,7 +298,8 @@ def density_cluster(df: DataFrame, min_cluster_size: int = 50, min_samples: int
     """Adds ``cluster``: density clusters of any shape, -1 for noise.
 
     Equal vectors are merged and counted first. The mutual reachability graph over the exact
-    nearest neighbours is cut at ``levels`` quantiles of its edge weights; components of at least
+    nearest neighbours is cut at ``levels`` quantiles of its edge weights, each halving the share of
+    longer edges, since the long edges are what joins clusters; components of at least
     ``min_cluster_size`` rows form a tree, and the clusters are the most persistent nodes, none
     inside another. This approximates the full hierarchy by a fixed number of cuts, and pairs that
     are not near neighbours never link. With ``group``, rows of different groups never link.
@@ -317,7 +318,8 @@ def density_cluster(df: DataFrame, min_cluster_size: int = 50, min_samples: int
         .join(core.select(F.col("key").alias("b"), F.col("core").alias("core_b")), "b")
         .select("a", "b", weight.alias("w"))
     )
-    cuts = sorted(set(edges.approxQuantile("w", [(i + 1) / levels for i in range(levels)], 0.001)))
+    shares = [1.0 - 0.5 ** (i + 1) for i in range(levels - 1)] + [1.0]
+    cuts = sorted(set(edges.approxQuantile("w", shares, 0.001)))
     cut_labels, tables = [], []
     labels, low = reps.select("key", F.col("key").alias("comp")), None
     for high in cuts:
