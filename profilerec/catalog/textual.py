@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from profilerec.catalog.profiles import PERSONA, event_rfm_profiles, journey_sql
 from profilerec.catalog.registry import EV, PROD, register
 from profilerec.functions import text
-from profilerec.operators import cf, journey, persona, textmine
+from profilerec.operators import cf, history, journey, persona, textmine
 from profilerec.sources import adapters as A
 
 STOP = "[" + ", ".join(f"'{w}'" for w in text.ENGLISH_STOPWORDS) + "]"
@@ -152,8 +152,6 @@ u AS (SELECT user_id, unnest(list_concat(coalesce(a, []), coalesce(b, []))) AS p
   generate_subscripts(list_concat(coalesce(a, []), coalesce(b, [])), 1) AS i FROM l)
 SELECT user_id, string_agg(p, ',' ORDER BY f) AS merged FROM (SELECT user_id, p, min(i) AS f FROM u GROUP BY 1, 2) GROUP BY 1""")
 def _(spark, sf):
-    from profilerec.operators import history
-
     def lists(kind):
         chunks = history.history_lists(
             A.interactions_ev(spark, sf).where(F.col("event_type") == kind), A.EVENT_ORDER)

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from profilerec.functions.text import ENGLISH_STOPWORDS, words
+from profilerec.functions.text import ENGLISH_STOPWORDS, SEPARATOR, words
 from profilerec.operators.blocks import sparse, top_scores
 from profilerec.operators.ordering import global_row_index, head_per_group
+from profilerec.operators.skew import join_hot
 from profilerec.session import cut_lineage
 
 
@@ -37,9 +38,17 @@ def vocabulary(
     return kept.select("term", "df", (F.log((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
-def weighted_terms(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """(key, term, ..., weight): tf * idf with unit length per key."""
-    raw = counts.join(vocab, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+def weighted_terms(counts: DataFrame, vocab: DataFrame, key: str, capped: bool = False) -> DataFrame:
+    """(key, term, ..., weight): tf * idf with unit length per key.
+
+    A vocabulary capped to a number of terms is broadcast. An open one is joined with the terms
+    that occur in a large share of the rows salted; ``df`` tells which those are.
+    """
+    if capped:
+        joined = counts.join(F.broadcast(vocab), "term")
+    else:
+        joined = join_hot(counts, vocab, "term", vocab.select("term", F.col("df").alias("_rows")), "_rows", [key])
+    raw = joined.withColumn("raw", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
     return raw.withColumn("weight", F.col("raw") / length).drop("raw")
 
@@ -50,8 +59,8 @@ def tfidf(
 ) -> DataFrame:
     """(key, term, tf, weight) with smoothed idf and unit length per document."""
     counts = term_counts(docs, key, text, stopwords)
-    vocab = vocabulary(counts, docs.agg(F.count("*")).scalar(), max_features, min_df, max_df)
-    return weighted_terms(counts, vocab, key).select(key, "term", "tf", "weight")
+    vocab = cut_lineage(vocabulary(counts, docs.agg(F.count("*")).scalar(), max_features, min_df, max_df))
+    return weighted_terms(counts, vocab, key, max_features is not None).select(key, "term", "tf", "weight")
 
 
 def ctfidf_keywords(
@@ -114,8 +123,6 @@ def embed_text(
 
 def product_text(products: DataFrame) -> DataFrame:
     """(product_id, product_text): combined text, tags and cluster summary as one text."""
-    from profilerec.functions.text import SEPARATOR
-
     parts = [F.coalesce(c, F.lit("")) for c in ("combined_text", "attribute_tags", "cluster_summary")]
     return products.select("product_id", F.concat_ws(SEPARATOR, *parts).alias("product_text"))
 
@@ -134,8 +141,8 @@ def text_vectors(
     vocab = global_row_index(cut_lineage(vocab), ["term"], "term_no")
     user_counts = term_counts(users, "user_id", "user_text", stopwords)
     return (
-        sparse(weighted_terms(user_counts, vocab, "user_id"), "user_id"),
-        sparse(weighted_terms(item_counts, vocab, "product_id"), "product_id"),
+        sparse(weighted_terms(user_counts, vocab, "user_id", True), "user_id"),
+        sparse(weighted_terms(item_counts, vocab, "product_id", True), "product_id"),
     )
 
 
