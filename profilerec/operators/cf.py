@@ -22,6 +22,7 @@ from profilerec.operators.skew import join_hot
 from profilerec.session import cut_lineage
 
 CONSTANT_SCORE = 2.5
+HEAD_RANKS = 10_000
 
 
 def ratings(interactions: DataFrame) -> DataFrame:
@@ -91,7 +92,13 @@ def recommend_popular(users: DataFrame, ranked: DataFrame, k: int, seen: DataFra
             "user_id", (F.coalesce("_n", F.lit(0)) + k).alias("need")
         )
     slots = need.select("user_id", F.explode(F.sequence(F.lit(1), F.col("need"))).alias("pop_rank"))
-    open_items = exclude_seen(slots.join(ranked.select("product_id", "pop_rank"), "pop_rank"), seen)
+    # Every user asks for the first ranks, so those few rows are broadcast; later ranks are shuffled.
+    names = ranked.select("product_id", "pop_rank")
+    is_head = F.col("pop_rank") <= HEAD_RANKS
+    listed_items = slots.where(is_head).join(F.broadcast(names.where(is_head)), "pop_rank").unionByName(
+        slots.where(~is_head).join(names.where(~is_head), "pop_rank")
+    )
+    open_items = exclude_seen(listed_items, seen)
     return head_per_group(open_items, ["user_id"], ["pop_rank"], k).select("user_id", "product_id", "rank")
 
 
