@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,16 @@ def build_session(app_name: str = "profilerec", master: str | None = None, **con
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where nothing is set."""
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where nothing is set, a local master gets a fresh local folder; any other master is an error,
+    because executors on other machines would not see what is written there.
+    """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="profilerec-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
@@ -51,3 +58,26 @@ def cut_lineage(df, name: str = "step"):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class StepTables:
+    """Intermediate tables of one operator run; each is dropped as soon as later ones replace it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        self.paths: dict[str, str] = {}
+
+    def write(self, df, name: str):
+        """Writes ``df`` below the shared folder and returns the table read back; replaces ``name``."""
+        path = scratch_path(self.spark, f"{self.name}-{name}")
+        df.write.option("compression", "zstd").parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes these tables; frames that still read them can no longer be used."""
+        for name in names:
+            if name in self.paths:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
