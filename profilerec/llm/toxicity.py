@@ -42,7 +42,7 @@ class ToxicityOptions:
     least_texts: int = 3
     most_share: float = 0.2
     rounds: int = 250
-    lasso: float = 3e-4
+    lasso: float = 6e-4
     ridge: float = 2e-5
     swap_weight: float = 1.0
     threshold: float = 0.7
