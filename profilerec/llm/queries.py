@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilerec.llm import chat, packing, quality, toxicity, urls
+from profilerec.llm import chat, jaccard, packing, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,46 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM w
+), c AS (
+  SELECT list_sort(s) AS s, min(doc_id) AS first, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY ALL
+), e AS (
+  SELECT first, n, unnest(s) AS g FROM c
+), rare AS (
+  SELECT g, count(*) AS f FROM e GROUP BY g
+), p AS (
+  SELECT first, n, g FROM (
+    SELECT e.*, row_number() OVER (PARTITION BY first ORDER BY f, g) AS k FROM e JOIN rare USING (g)
+  ) WHERE k <= n - ceil(85 * n / 100) + 1
+), cand AS (
+  SELECT DISTINCT a.first AS a, b.first AS b FROM p a JOIN p b USING (g) WHERE a.first < b.first AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), link AS (
+  SELECT a, b FROM cand JOIN c x ON x.first = a JOIN c y ON y.first = b
+  WHERE 185 * len(list_intersect(x.s, y.s)) >= 85 * (x.n + y.n)
+), both_ways AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(a, b) AS (
+  SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+), least AS (
+  SELECT a, min(b) AS m FROM reach GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
+  CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE least(c.first, coalesce(least.m, c.first)) END AS component_id
+FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN least ON c.first = least.a
+"""
+
+
+@query("op5_ngram_jaccard", JACCARD_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def tokenizer_path() -> str:
     """The public byte-level BPE file of this machine."""
     import public_tokenizers
