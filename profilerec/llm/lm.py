@@ -44,7 +44,7 @@ class InterpolationOptions:
     rounds: int = 40
 
 
-def _squeeze(values: np.ndarray) -> bytes:
+def squeeze(values: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, then compressed."""
     if not len(values):
         return b""
@@ -52,14 +52,14 @@ def _squeeze(values: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
-def _restore(blob: bytes, kind) -> np.ndarray:
+def restore(blob: bytes, kind) -> np.ndarray:
     if not blob:
         return np.zeros(0, kind)
     flat = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(flat.T).view(kind).ravel()
 
 
-def _blocks(batches, limit: int):
+def gather_blocks(batches, limit: int):
     part, number = TaskContext.get().partitionId(), 0
     ids, trained, sizes, texts, total = [], [], [], [], 0
 
@@ -130,18 +130,18 @@ def _ask(batches, order: int, bits: int, buckets: int):
                 unique, place = np.unique(key, return_inverse=True)
                 count = np.bincount(place, learned, len(unique)).astype(np.uint32)
                 width = 64 if k == 0 else bits
-                bucket = _bucket(unique, width, buckets)
+                bucket = bucket_of(unique, width, buckets)
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 for b in range(buckets):
                     u, c = unique[cut[b] : cut[b + 1]], count[cut[b] : cut[b + 1]]
                     if len(u):
                         steps = np.diff(u, prepend=np.uint64(0))
-                        out.append((b, row["block"], k, _squeeze(steps), _squeeze(c)))
+                        out.append((b, row["block"], k, squeeze(steps), squeeze(c)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
                                              ["bucket", "block", "k", "keys", "counts"])
 
 
-def _bucket(keys: np.ndarray, width: int, buckets: int) -> np.ndarray:
+def bucket_of(keys: np.ndarray, width: int, buckets: int) -> np.ndarray:
     """Equal ranges of the key space, in key order."""
     top = keys >> np.uint64(max(width - 32, 0)) if width > 32 else keys << np.uint64(32 - width)
     return ((top * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
@@ -151,15 +151,15 @@ def _answer(part: pd.DataFrame) -> pd.DataFrame:
     """Per request the totals of its keys, in its order; and how many words and tokens were learned here."""
     rows, types, learned = [], 0, 0
     for k, group in part.groupby("k"):
-        keys = [np.cumsum(_restore(x, np.uint64), dtype=np.uint64) for x in group["keys"]]
-        counts = np.concatenate([_restore(x, np.uint32) for x in group["counts"]]).astype(np.int64)
+        keys = [np.cumsum(restore(x, np.uint64), dtype=np.uint64) for x in group["keys"]]
+        counts = np.concatenate([restore(x, np.uint32) for x in group["counts"]]).astype(np.int64)
         unique, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, counts, len(unique)).astype(np.int64)
         if k == 0:
             types, learned = int((total > 0).sum()), int(total.sum())
         at = 0
         for block, own in zip(group["block"], keys):
-            rows.append((block, k, _squeeze(total[place[at : at + len(own)]].astype(np.uint64)), 0, 0))
+            rows.append((block, k, squeeze(total[place[at : at + len(own)]].astype(np.uint64)), 0, 0))
             at += len(own)
     out = pd.DataFrame([(None, -1, b"", types, learned), *rows], columns=["block", "k", "totals", "types", "learned"])
     out["bucket"] = part["bucket"].iloc[0]
@@ -173,11 +173,11 @@ def _state(order: int, bits: int):
         columns = []
         for k, key_ in enumerate(_keys(back, bits)):
             mine = answers[answers["k"] == k].sort_values("bucket")
-            totals = np.concatenate([*[_restore(x, np.uint64) for x in mine["totals"]], np.zeros(0, np.uint64)])
+            totals = np.concatenate([*[restore(x, np.uint64) for x in mine["totals"]], np.zeros(0, np.uint64)])
             columns.append(totals[np.unique(key_, return_inverse=True)[1]])
         return pd.DataFrame({
             "ids": [row["ids"]], "trained": [row["trained"]], "lengths": [np.bincount(own, minlength=len(row["sizes"]))],
-            "counts": [[_squeeze(c) for c in columns]],
+            "counts": [[squeeze(c) for c in columns]],
         })
 
     return run
@@ -242,7 +242,7 @@ def interpolation_scores(docs: DataFrame, trained: Column, options: Interpolatio
     steps = StepTables(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"), "text")
     blocks = steps.write(rows.mapInArrow(
-        lambda b: _blocks(b, options.block_bytes), "block bigint, ids array<bigint>, trained array<boolean>, sizes array<bigint>, body binary"), "blocks")
+        lambda b: gather_blocks(b, options.block_bytes), "block bigint, ids array<bigint>, trained array<boolean>, sizes array<bigint>, body binary"), "blocks")
     shape = blocks.select(
         F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bytes"), F.size(F.filter("trained", lambda t: t)).alias("learned"),
     ).agg(F.sum("bytes").alias("bytes"), F.sum("learned").alias("documents")).first()
@@ -266,7 +266,7 @@ def interpolation_scores(docs: DataFrame, trained: Column, options: Interpolatio
             for row in batch.to_pylist():
                 lengths = np.array(row["lengths"])
                 use = np.repeat(np.array(row["trained"], bool), lengths)
-                p, context = _estimates([_restore(c, np.uint64) for c in row["counts"]], lengths, n, documents, 1)
+                p, context = _estimates([restore(c, np.uint64) for c in row["counts"]], lengths, n, documents, 1)
                 level = [np.where(x > 0, np.round(np.log2(np.maximum(x * (v + 1), 1e-300)) * options.fine), -1e6).astype(np.int64) for x in p]
                 # An estimate is at least 1 / n, so its level is no lower than that of v / n.
                 low = math.floor(math.log2((v + 1) / max(n, 1)) * options.fine) - 1
@@ -281,7 +281,7 @@ def interpolation_scores(docs: DataFrame, trained: Column, options: Interpolatio
         for batch in batches:
             for row in batch.to_pylist():
                 lengths = np.array(row["lengths"])
-                counts = [_restore(c, np.uint64) for c in row["counts"]]
+                counts = [restore(c, np.uint64) for c in row["counts"]]
                 p, context = _estimates(counts, lengths, n, documents, 0)
                 w = weights[_class(context)]
                 mixed = w[:, 0] / (v + 1)

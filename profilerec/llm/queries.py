@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilerec.llm import chat, decontaminate, jaccard, lm, packing, quality, toxicity, urls
+from profilerec.llm import chat, decontaminate, jaccard, lm, packing, quality, repeats, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op4_lm_score")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lm.interpolation_scores(table(spark, sf_dir, "documents"), remainder(7) != 2)
