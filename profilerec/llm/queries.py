@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilerec.llm import chat, decontaminate, jaccard, lm, packing, quality, repeats, toxicity, urls
+from profilerec.llm import chat, decontaminate, jaccard, lm, packing, quality, repeats, search, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,6 +135,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+@query("op7_bm25_topk")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_documents(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
 @query("op8_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
