@@ -59,28 +59,29 @@ def restore(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.T).view(kind).ravel()
 
 
-def gather_blocks(batches, limit: int):
+def gather_blocks(batches, limit: int, note=pa.bool_()):
+    """Blocks of at least ``limit`` bytes of whole texts from (id, note, text); the last of a task may be smaller."""
     part, number = TaskContext.get().partitionId(), 0
-    ids, trained, sizes, texts, total = [], [], [], [], 0
+    ids, notes, sizes, texts, total = [], [], [], [], 0
 
     def out():
         body = zstandard.compress(b"".join(texts), 3)
         return pa.RecordBatch.from_arrays([
-            pa.array([(part << 32) + number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([trained], pa.list_(pa.bool_())),
+            pa.array([(part << 32) + number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([notes], pa.list_(note)),
             pa.array([sizes], pa.list_(pa.int64())), pa.array([body], pa.binary()),
-        ], ["block", "ids", "trained", "sizes", "body"])
+        ], ["block", "ids", "notes", "sizes", "body"])
 
     for batch in batches:
         for first, n, data, offsets in tokens.groups(batch.column(2)):
             ids += batch.column(0).slice(first, n).to_pylist()
-            trained += batch.column(1).slice(first, n).to_pylist()
+            notes += batch.column(1).slice(first, n).to_pylist()
             sizes += np.diff(offsets).tolist()
             texts.append(data.tobytes())
             total += len(data)
             if total >= limit:
                 yield out()
                 number += 1
-                ids, trained, sizes, texts, total = [], [], [], [], 0
+                ids, notes, sizes, texts, total = [], [], [], [], 0
     if ids:
         yield out()
 
@@ -124,7 +125,7 @@ def _ask(batches, order: int, bits: int, buckets: int):
     for batch in batches:
         for row in batch.to_pylist():
             back, own = _history(row["sizes"], row["body"], order, powers)
-            learned = np.array(row["trained"], bool)[own]
+            learned = np.array(row["notes"], bool)[own]
             out = []
             for k, key in enumerate(_keys(back, bits)):
                 unique, place = np.unique(key, return_inverse=True)
@@ -176,7 +177,7 @@ def _state(order: int, bits: int):
             totals = np.concatenate([*[restore(x, np.uint64) for x in mine["totals"]], np.zeros(0, np.uint64)])
             columns.append(totals[np.unique(key_, return_inverse=True)[1]])
         return pd.DataFrame({
-            "ids": [row["ids"]], "trained": [row["trained"]], "lengths": [np.bincount(own, minlength=len(row["sizes"]))],
+            "ids": [row["ids"]], "trained": [row["notes"]], "lengths": [np.bincount(own, minlength=len(row["sizes"]))],
             "counts": [[squeeze(c) for c in columns]],
         })
 
@@ -242,9 +243,9 @@ def interpolation_scores(docs: DataFrame, trained: Column, options: Interpolatio
     steps = StepTables(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"), "text")
     blocks = steps.write(rows.mapInArrow(
-        lambda b: gather_blocks(b, options.block_bytes), "block bigint, ids array<bigint>, trained array<boolean>, sizes array<bigint>, body binary"), "blocks")
+        lambda b: gather_blocks(b, options.block_bytes), "block bigint, ids array<bigint>, notes array<boolean>, sizes array<bigint>, body binary"), "blocks")
     shape = blocks.select(
-        F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bytes"), F.size(F.filter("trained", lambda t: t)).alias("learned"),
+        F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bytes"), F.size(F.filter("notes", lambda t: t)).alias("learned"),
     ).agg(F.sum("bytes").alias("bytes"), F.sum("learned").alias("documents")).first()
     size, documents = shape["bytes"] or 0, shape["documents"] or 0
     bits = min(64, math.ceil(math.log2(size + 2)) + options.spare_bits)

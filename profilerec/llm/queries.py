@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from profilerec.llm import chat, decontaminate, jaccard, lm, packing, quality, repeats, search, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,16 +124,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-def tokenizer_path() -> str:
-    """The public byte-level BPE file of this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path(), with_ids=False)
 
 
 @query("op7_bm25_topk")
@@ -203,3 +197,8 @@ FROM p JOIN ruled ON p.u = ruled.u LEFT JOIN tainted ON p.node = tainted.a
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
