@@ -187,7 +187,7 @@ UNION ALL SELECT 0.99::DOUBLE, round(quantile_cont(l_extendedprice, 0.99), 4) FR
 def _(spark, sf):
     probs = [0.01, 0.5, 0.99]
     values = stats.exact_quantiles(
-        A.table(spark, sf, "lineitem"), ["l_extendedprice"], probs, small_rows=1000)["l_extendedprice"]
+        A.table(spark, sf, "lineitem"), ["l_extendedprice"], probs)["l_extendedprice"]
     return spark.createDataFrame([(p, round(v, 4)) for p, v in zip(probs, values)], "p double, value double")
 
 
@@ -203,7 +203,7 @@ WITH {ORD} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   row_number() OVER (ORDER BY ts, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS row_index FROM od""")
 def _(spark, sf):
     log = A.interactions_ord(spark, sf).select("ts", *A.ORDER_ORDER)
-    return ordering.global_row_index(log, ["ts", *A.ORDER_ORDER], small_rows=1000).select(*A.ORDER_ORDER, "row_index")
+    return ordering.global_row_index(log, ["ts", *A.ORDER_ORDER]).select(*A.ORDER_ORDER, "row_index")
 
 
 @register("global_temporal_split", f"""

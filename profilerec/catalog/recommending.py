@@ -122,7 +122,7 @@ def _(spark, sf):
 WITH {EV}, {EV_RT}, {IBCF} SELECT product_a, product_b, round(sim, 6) AS sim FROM sim""")
 def _(spark, sf):
     """The block path for very active users, here taken by every user with more than 40 items."""
-    return rounded(cf.item_similarity(ev_pairs(spark, sf), max_basket=40, block_rows=64), "sim")
+    return rounded(cf.item_similarity(ev_pairs(spark, sf), block_rows=64), "sim")
 
 
 @register("recommend_ibcf", f"WITH {EV}, {EV_RT}, {IBCF} {topk_sql('ib', 10)}")
@@ -190,7 +190,8 @@ WITH {SEMANTIC}, {EV_RT}, {IBCF}, mixed AS (SELECT user_id, product_id, 0.5 * co
   AS score FROM ib FULL JOIN sem USING (user_id, product_id)) {topk_sql('mixed', 10)}""")
 def _(spark, sf):
     cfs = cf.ibcf_scores(ev_pairs(spark, sf))
-    sem = textmine.cosine_topk(user_texts(spark, sf), textmine.product_text(active_products(spark, sf)), 100)
+    products = active_products(spark, sf)
+    sem = textmine.cosine_topk(user_texts(spark, sf), textmine.product_text(products), products.count())
     return rounded(hybrid.simple_hybrid_from_scores(cfs, sem, 10).select("user_id", "product_id", "score", "rank"))
 
 
@@ -218,7 +219,8 @@ SELECT user_id, product_id, round(coalesce(ib.score, 0.0::DOUBLE), 6) AS cf_scor
   AS llm_score FROM pool LEFT JOIN ib USING (user_id, product_id) LEFT JOIN sem USING (user_id, product_id)""")
 def _(spark, sf):
     cfs = cf.ibcf_scores(ev_pairs(spark, sf))
-    sem = textmine.cosine_topk(user_texts(spark, sf), textmine.product_text(active_products(spark, sf)), 100)
+    products = active_products(spark, sf)
+    sem = textmine.cosine_topk(user_texts(spark, sf), textmine.product_text(products), products.count())
     return rounded(hybrid.candidates_from_scores(cfs, sem, 15), "cf_score", "llm_score")
 
 

@@ -22,7 +22,6 @@ from profilerec.operators.skew import join_hot
 from profilerec.session import cut_lineage
 
 CONSTANT_SCORE = 2.5
-HEAD_RANKS = 10_000
 
 
 def ratings(interactions: DataFrame) -> DataFrame:
@@ -92,36 +91,21 @@ def recommend_popular(users: DataFrame, ranked: DataFrame, k: int, seen: DataFra
             "user_id", (F.coalesce("_n", F.lit(0)) + k).alias("need")
         )
     slots = need.select("user_id", F.explode(F.sequence(F.lit(1), F.col("need"))).alias("pop_rank"))
-    # Every user asks for the first ranks, so those few rows are broadcast; later ranks are shuffled.
-    names = ranked.select("product_id", "pop_rank")
-    is_head = F.col("pop_rank") <= HEAD_RANKS
-    listed_items = slots.where(is_head).join(F.broadcast(names.where(is_head)), "pop_rank").unionByName(
-        slots.where(~is_head).join(names.where(~is_head), "pop_rank")
-    )
+    # Every user asks for the first ranks, so those are hot keys.
+    asked = slots.groupBy("pop_rank").agg(F.count("*").alias("n"))
+    listed_items = join_hot(slots, ranked.select("product_id", "pop_rank"), "pop_rank", asked, "n", ["user_id"])
     open_items = exclude_seen(listed_items, seen)
     return head_per_group(open_items, ["user_id"], ["pop_rank"], k).select("user_id", "product_id", "rank")
 
 
-def item_similarity(pairs: DataFrame, max_basket: int = 256, block_rows: int = 1024) -> DataFrame:
+def item_similarity(pairs: DataFrame, block_rows: int = 1024) -> DataFrame:
     """(product_a, product_b, sim): cosine of the item rating columns, both directions.
 
-    Users with at most ``max_basket`` items add their products through a join whose fan-out is
-    bounded by that number. The few users beyond it are cut into blocks of users and items and
-    multiplied as matrices, so a very active user costs a share of a matrix and no pair rows.
+    The rating matrix is cut into blocks of users and items, whose products are summed: a very
+    active user costs a share of a matrix, and no pair rows leave a task before they are summed.
     """
     lengths = pairs.groupBy("product_id").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("length"))
-    baskets = pairs.groupBy("user_id").agg(F.count("*").alias("basket"))
-    sized = pairs.join(baskets, "user_id")
-    small = sized.where(F.col("basket") <= max_basket)
-    left = small.select("user_id", F.col("product_id").alias("product_a"), F.col("rating").alias("rating_a"))
-    right = small.select("user_id", F.col("product_id").alias("product_b"), F.col("rating").alias("rating_b"))
-    dots = left.join(right, "user_id").where("product_a < product_b").groupBy("product_a", "product_b").agg(
-        F.sum(F.col("rating_a") * F.col("rating_b")).alias("dot")
-    )
-    large = sized.where(F.col("basket") > max_basket).select("user_id", "product_id", "rating")
-    dots = dots.unionByName(_block_dots(large, block_rows)).groupBy("product_a", "product_b").agg(
-        F.sum("dot").alias("dot")
-    )
+    dots = _block_dots(pairs, block_rows).groupBy("product_a", "product_b").agg(F.sum("dot").alias("dot"))
     both = dots.unionByName(dots.select(
         F.col("product_b").alias("product_a"), F.col("product_a").alias("product_b"), "dot"
     ))
@@ -165,7 +149,7 @@ def _block_dots(pairs: DataFrame, block_rows: int) -> DataFrame:
 
 
 def ibcf_scores(
-    pairs: DataFrame, item_limit: int | None = None, neighbours: int | None = None, max_basket: int = 256
+    pairs: DataFrame, item_limit: int | None = None, neighbours: int | None = None
 ) -> DataFrame:
     """(user_id, product_id, score): sum of similarity times rating over the user's rated items.
 
@@ -175,7 +159,7 @@ def ibcf_scores(
     if item_limit is not None:
         first = pairs.select("product_id").distinct().orderBy("product_id").limit(item_limit)
         pairs = pairs.join(first, "product_id", "left_semi")
-    sims = item_similarity(pairs, max_basket)
+    sims = item_similarity(pairs)
     if neighbours is not None:
         sims = head_per_group(sims, ["product_a"], [F.desc("sim"), "product_b"], neighbours).drop("rank")
     rated = pairs.withColumnRenamed("product_id", "product_a")

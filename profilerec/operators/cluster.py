@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from profilerec.operators.blocks import block_pairs, distances
 from profilerec.operators.ordering import global_row_index, head_per_group
-from profilerec.operators.rfm import few_partitions, kmeans
+from profilerec.operators.rfm import kmeans
 from profilerec.session import cut_lineage
 
 NOISE = -1
@@ -26,7 +26,7 @@ def kmeans_clusters(df: DataFrame, k: int | None = None, max_k: int = 166, vecto
     n = df.count()
     k = k or min(max_k, max(8, n // 80))
     rows = df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
-    model, _cost = kmeans(few_partitions(rows, n), k, "_features", seed, n_init, cluster=cluster)
+    model, _cost = kmeans(rows, k, "_features", seed, n_init, cluster=cluster)
     return model.transform(rows).drop("_features")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from profilerec.operators.ordering import head_per_group, index_within
+from profilerec.operators.ordering import first_per_key, head_per_group, index_within
 
 # Event types from the strongest signal to the weakest.
 TIERS = ("purchase", "like", "view")
@@ -18,7 +18,7 @@ def first_distinct_items(interactions: DataFrame, products: DataFrame, n: int =
     """First ``n`` distinct catalog items per user in time order, from the user's best event type.
 
     Likes count only for users without a purchase of a catalog item, views only for users with
-    neither. Repeats collapse before the rows of a user meet, then every task keeps ``n`` per user.
+    neither. Of several catalog rows of one product the first by name and category counts. Repeats collapse before the rows of a user meet, then every task keeps ``n`` per user.
     """
     tier = F.lit(None).cast("int")
     for i, name in reversed(list(enumerate(TIERS))):
@@ -26,7 +26,7 @@ def first_distinct_items(interactions: DataFrame, products: DataFrame, n: int =
     items = (
         interactions.withColumn("tier", tier).where("tier IS NOT NULL AND product_id <> ''")
         .groupBy("user_id", "product_id", "tier").agg(F.min("ts").alias("first_ts"))
-        .join(products.select("product_id", "name", "category"), "product_id")
+        .join(first_per_key(products.select("product_id", "name", "category"), ["product_id"], ["name", "category"]), "product_id")
     )
     top = head_per_group(items, ["user_id"], ["tier", "first_ts", "product_id"], n)
     best = F.min("tier").over(W.partitionBy("user_id"))

@@ -12,20 +12,12 @@ from pyspark.sql import functions as F
 from profilerec.operators.stats import kth_value
 from profilerec.session import cut_lineage
 
-SMALL_ROWS = 100_000
-
-
-def global_row_index(
-    df: DataFrame, order: Sequence, name: str = "row_index", small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def global_row_index(df: DataFrame, order: Sequence, name: str = "row_index") -> DataFrame:
     """0-based position in a total order.
 
-    A table of at most ``small_rows`` rows is numbered in one task. A larger one is range
-    partitioned and written once, because range bounds are sampled again on every run; then each
-    partition is numbered on its own and shifted by the count of the partitions before it.
+    The table is range partitioned and written once, because range bounds are sampled again on every
+    run; then each partition is numbered on its own and shifted by the count of those before it.
     """
-    if df.count() <= small_rows:
-        return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1).cast("bigint"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -48,13 +40,14 @@ def index_within(
     """1-based time position of every row within its key (``_idx``) and the key's size (``_total``).
 
     Rows are numbered per (key, time slice) and shifted by the key's earlier slices, so a key with
-    a large share of the rows is spread over as many tasks as it has slices.
+    a large share of the rows is spread over as many tasks as it has slices. Rows without a time
+    come first, in the order of ``tie``; rows without a key are one key.
     """
     sliced = df.withColumn("_slice", F.date_trunc(grain, F.col(ts)).cast("timestamp_ntz"))
     counts = sliced.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
     per_key = W.partitionBy(key)
     offsets = counts.select(
-        key, "_slice",
+        F.col(key).alias("_key"), F.col("_slice").alias("_of"),
         F.coalesce(
             F.sum("_n").over(per_key.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
         ).alias("_offset"),
@@ -63,9 +56,9 @@ def index_within(
     local = F.row_number().over(W.partitionBy(key, "_slice").orderBy(ts, *tie))
     return (
         sliced.withColumn("_local", local)
-        .join(offsets, [key, "_slice"])
+        .join(offsets, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slice").eqNullSafe(F.col("_of")))
         .withColumn("_idx", F.col("_offset") + F.col("_local"))
-        .drop("_slice", "_local", "_offset")
+        .drop("_slice", "_local", "_offset", "_key", "_of")
     )
 
 
@@ -86,12 +79,14 @@ def global_split(df: DataFrame, ts: str, tie: Sequence[str], ratio: float = 0.8)
     """Adds ``split``: the first int(n * ratio) rows in (ts, tie) order train, the rest test.
 
     The boundary row is found by counting, so the split is a filter and moves no rows. ``tie`` are
-    numeric columns that make the order total.
+    numeric columns that make the order total. Rows without a time do not count and are train.
     """
-    n = df.count()
+    n = df.where(F.col(ts).isNotNull()).count()
+    if not n:
+        return df.withColumn("split", F.lit("train"))
     last = max(1, min(n - 1, int(n * ratio))) - 1
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    inside, train = df, F.lit(False)
+    inside, train = df.where(F.col(ts).isNotNull()), F.col(ts).isNull()
     prefix = F.lit(True)
     for i, value in enumerate([micros, *[F.col(c) for c in tie]]):
         boundary, below, equal = kth_value(inside, value, last)
@@ -117,9 +112,12 @@ def fill_ordered(df: DataFrame, cols: Sequence[str], order: str, buckets: int |
     probs = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(df.approxQuantile(order, probs, 1.0 / (4 * buckets)))) if probs else []
     splits = [-float("inf"), *bounds, float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol="_order", outputCol="_slice").transform(
-        df.withColumn("_order", F.col(order).cast("double"))
-    ).drop("_order")
+    if bounds:
+        sliced = Bucketizer(splits=splits, inputCol="_order", outputCol="_slice").transform(
+            df.withColumn("_order", F.col(order).cast("double"))
+        ).drop("_order")
+    else:
+        sliced = df.withColumn("_slice", F.lit(0.0))
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     known = {c: F.when(F.col(c).isNotNull(), F.col(order)) for c in cols}
     last_known = sliced.groupBy("_slice").agg(*[F.max_by(c, known[c]).alias(f"_last_{c}") for c in cols])
@@ -143,6 +141,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
     return head_per_group(df, keys, order, 1).drop("rank")
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: the first in the order of all plain columns."""
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "vector", "binary"))]
+    return first_per_key(df, [key], plain)
+
+
 def head_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per key; every task keeps at most ``n`` rows per key before the shuffle."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)

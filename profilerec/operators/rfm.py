@@ -75,12 +75,6 @@ def vectors(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFr
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
 
 
-def few_partitions(df: DataFrame, n_rows: int, rows_per_partition: int = 100_000) -> DataFrame:
-    """Joins near-empty partitions of an iterative input; larger inputs keep theirs."""
-    wanted = max(1, -(-n_rows // rows_per_partition))
-    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
-
-
 def kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42, n_init: int = 10,
            max_iter: int = 300, cluster: str = "cluster") -> tuple[KMeansModel, float]:
     """Best of ``n_init`` seeded fits by training cost."""
@@ -119,7 +113,7 @@ def behavior_clusters(rfm: DataFrame, seed: int = 42, n_init: int = 10,
     try:
         n_users = held.count()
         ks = candidate_ks(n_users, k_range)
-        scaled = few_partitions(held, n_users)
+        scaled = held
         with ThreadPoolExecutor(max_workers=len(ks)) as pool:
             runs = {k: pool.submit(kmeans, scaled, k, "features", seed, n_init, 300, "behavior_cluster") for k in ks if k > 1}
             fits = {k: run.result() for k, run in runs.items()}

@@ -8,78 +8,102 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 200_000
-FETCH_ROWS = 10_000
+from profilerec.session import cut_lineage
+
 BINS = 4096
 
 
-def kth_value(
-    df: DataFrame, value: Column, k: int, fetch_rows: int = FETCH_ROWS, passes: dict | None = None
-) -> tuple[float, int, int]:
-    """Value at 0-based rank ``k`` of the non-null values, with the counts below and equal to it.
+def kth_values(df: DataFrame, wanted: dict[str, tuple[Column, Sequence[int]]]) -> dict[tuple[str, int], tuple[float, int, int]]:
+    """Values at 0-based ranks of the non-null values of several columns, with the counts below and equal to each.
 
-    Counts per bin narrow the range until few rows are left. Every pass is a map-side combined
-    count; the driver holds one row of bins, so a value shared by most rows is only a tall bin.
-    ``passes`` keeps counts already made, for several ranks of the same values.
+    Counts per bin narrow the range of every rank until one value is left; all columns and ranks
+    share a pass. A pass is a map-side combined count, and the driver sees at most ``BINS`` rows per
+    rank, so a value shared by most rows is only a tall bin. NaN counts as missing, and infinities
+    are the smallest and largest values. A rank beyond the values is an error.
     """
-    passes = {} if passes is None else passes
-    values = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    if "range" not in passes:
-        passes["range"] = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    low, high, n_inside = passes["range"]
-    below = 0
-    while True:
-        if low == high:
-            return low, below, n_inside
-        exact = n_inside <= fetch_rows
-        key = (low, high)
-        if key not in passes:
-            inside = values.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
-            width = (high - low) / BINS
-            bin_no = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
-            counted = inside.groupBy((F.col("v") if exact else bin_no).alias("bin")).agg(
-                F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-            )
-            passes[key] = sorted(counted.collect(), key=lambda r: r["bin"])
-        for row in passes[key]:
-            if below + row["n"] > k:
-                low, high, n_inside = row["lo"], row["hi"], row["n"]
-                break
-            below += row["n"]
-
-
-def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], small_rows: int = SMALL_ROWS
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column.
-
-    A table of at most ``small_rows`` rows uses the built-in percentile, whose buffer is then
-    bounded; a larger one uses :func:`kth_value`.
+    flat = df.select(*[c.alias(f"v{i}") for i, (c, _) in enumerate(wanted.values())])
+    kinds = dict(flat.dtypes)
+    flat = cut_lineage(flat.select(*[F.nanvl(c, F.lit(None)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in flat.columns]))
+    infinite = {i: kinds[f"v{i}"] in ("double", "float") for i in range(len(wanted))}
+
+    def finite(i: int) -> Column:
+        c = F.col(f"v{i}")
+        return F.when(F.abs(c) < float("inf"), c) if infinite[i] else c
+
+    counts = flat.agg(*[x for i in range(len(wanted)) for x in (
+        F.min(finite(i)).alias(f"lo{i}"), F.max(finite(i)).alias(f"hi{i}"), F.count(finite(i)).alias(f"n{i}"), F.count(f"v{i}").alias(f"all{i}"),
+        (F.count_if(F.col(f"v{i}") == float("-inf")) if infinite[i] else F.lit(0)).alias(f"under{i}"))]).first()
+    found: dict[tuple[str, int], tuple[float, int, int]] = {}
+    open_ranks: dict[tuple[str, int], list] = {}
+    for i, (name, (_, ranks)) in enumerate(wanted.items()):
+        under, n = counts[f"under{i}"], counts[f"n{i}"]
+        for k in ranks:
+            if not 0 <= k < counts[f"all{i}"]:
+                raise ValueError(f"rank {k} of {name}: there are {counts[f'all{i}']} values")
+            if k < under:
+                found[name, k] = float("-inf"), 0, under
+            elif k >= under + n:
+                found[name, k] = float("inf"), under + n, counts[f"all{i}"] - under - n
+            else:
+                open_ranks[name, k] = [i, counts[f"lo{i}"], counts[f"hi{i}"], under, n]
+    while open_ranks:
+        for key, (_, low, high, below, n) in list(open_ranks.items()):
+            if low == high:
+                found[key] = low, below, n
+                del open_ranks[key]
+        ranges = list(dict.fromkeys((i, low, high) for i, low, high, _, _ in open_ranks.values()))
+        if not ranges:
+            break
+        cells = []
+        for number, (i, low, high) in enumerate(ranges):
+            v = finite(i)
+            width = high / BINS - low / BINS
+            # Where a step is too small for a double, the two ends are told apart by themselves.
+            step = F.least(F.floor((v / width) - F.lit(low / width)), F.lit(BINS - 1)) if infinite[i] and width > 0 else (
+                F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)) if width > 0 else F.when(v == F.lit(low), 0).otherwise(1))
+            cells.append(F.when((v >= F.lit(low)) & (v <= F.lit(high)), F.struct(
+                F.lit(number).alias("range"), F.greatest(step.cast("bigint"), F.lit(0)).alias("bin"), v.cast("double" if infinite[i] else "bigint").cast("string").alias("v"))))
+        kind = {number: float if infinite[i] else int for number, (i, _, _) in enumerate(ranges)}
+        rows = flat.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+        number_of = F.col("v").cast("double")
+        bins = rows.groupBy("range", "bin").agg(F.count("*").alias("n"), F.min_by("v", number_of).alias("lo"), F.max_by("v", number_of).alias("hi")).collect()
+        table: dict[int, list] = {}
+        for r in sorted(bins, key=lambda r: (r["range"], r["bin"])):
+            table.setdefault(r["range"], []).append((r["n"], kind[r["range"]](r["lo"]), kind[r["range"]](r["hi"])))
+        for (_, k), state in open_ranks.items():
+            for n, lo, hi in table[ranges.index((state[0], state[1], state[2]))]:
+                if state[3] + n > k:
+                    state[1], state[2], state[4] = lo, hi, n
+                    break
+                state[3] += n
+    return found
+
+
+def kth_value(df: DataFrame, value: Column, k: int) -> tuple[float, int, int]:
+    """One rank of one column: see :func:`kth_values`."""
+    return kth_values(df, {"value": (value, [k])})["value", k]
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles per column, by :func:`kth_values` for tables of any size.
+
+    Nulls and NaN are left out; a column without values gives nulls. Between an infinite and another
+    value the infinite one is the result.
     """
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    numeric = cut_lineage(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols]))
     counts = numeric.agg(*[F.count(c).alias(c) for c in cols]).first()
-    if max(counts) <= small_rows:
-        row = numeric.agg(
-            *[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in cols]
-        ).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        found: dict[int, float] = {}
-        passes: dict = {}
-        result: list[float | None] = []
-        for p in probs:
-            if counts[c] == 0:
-                result.append(None)
-                continue
-            position = (counts[c] - 1) * p
-            for rank in (math.floor(position), math.ceil(position)):
-                if rank not in found:
-                    found[rank] = kth_value(numeric, F.col(c), rank, passes=passes)[0]
-            lower, upper = found[math.floor(position)], found[math.ceil(position)]
-            result.append(lower + (upper - lower) * (position - math.floor(position)))
-        out[c] = result
-    return out
+    places = {c: [(counts[c] - 1) * p for p in probs] for c in cols if counts[c]}
+    wanted = {c: (F.col(c), sorted({f(x) for x in at for f in (math.floor, math.ceil)})) for c, at in places.items()}
+    found = kth_values(numeric, wanted) if wanted else {}
+
+    def between(c: str, position: float) -> float:
+        lower, upper = found[c, math.floor(position)][0], found[c, math.ceil(position)][0]
+        share = position - math.floor(position)
+        if lower == upper or not share:
+            return lower
+        return lower + (upper - lower) * share if math.isfinite(lower) else (lower if math.isinf(lower) and math.isfinite(upper) else math.nan)
+
+    return {c: [between(c, x) for x in places[c]] if c in places else [None] * len(probs) for c in cols}
 
 
 def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:

@@ -15,7 +15,11 @@ from profilerec.sources.tables import PRODUCT_TEXTS
 def customer_profiles(
     customers: DataFrame, interactions: DataFrame, products: DataFrame, n_init: int = 10
 ) -> tuple[DataFrame, DataFrame]:
-    """Customer rows with segment, history and persona columns, and the RFM table behind them."""
+    """Customer rows with segment, history and persona columns, and the RFM table behind them.
+
+    Of several rows of one customer one counts.
+    """
+    customers = ordering.one_per_key(customers, "user_id")
     users, _curve = rfm.behavior_clusters(cut_lineage(rfm.assemble_rfm(interactions, customers)), n_init=n_init)
     scored = cut_lineage(rfm.attach_segment_labels(cut_lineage(users)))
     taste = history.taste_profiles(history.first_distinct_items(interactions, products))

@@ -34,7 +34,7 @@ def test_exact_quantiles_without_percentile(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([np.full(4000, 7.0), rng.lognormal(3, 2, 8000)])
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
-    got = stats.exact_quantiles(df, ["x"], [0.01, 0.37, 0.5, 0.99], small_rows=10)["x"]
+    got = stats.exact_quantiles(df, ["x"], [0.01, 0.37, 0.5, 0.99])["x"]
     assert np.allclose(got, np.quantile(x, [0.01, 0.37, 0.5, 0.99]))
 
 
@@ -77,7 +77,7 @@ def test_splits(spark):
 def test_row_index_large_path(spark):
     rows = [(i * 7919 % 1009, i) for i in range(1009)]
     df = spark.createDataFrame(rows, "a int, b int").repartition(5)
-    got = {r["a"]: r["row_index"] for r in ordering.global_row_index(df, ["a"], small_rows=10).collect()}
+    got = {r["a"]: r["row_index"] for r in ordering.global_row_index(df, ["a"]).collect()}
     assert got == {a: a for a, _ in rows}
 
 
@@ -144,15 +144,19 @@ def test_top_scores_over_many_blocks(spark):
     assert {(r["user_id"], r["product_id"]) for r in got.collect()} == brute_top(u, v, 6, seen)
 
 
-def test_item_similarity_paths_agree(spark):
+def test_item_similarity_equals_cosines_for_any_block_size(spark):
     rng = random.Random(2)
     rows = list({(f"u{rng.randrange(30)}", f"p{rng.randrange(25)}"): float(rng.choice([1, 3, 5])) for _ in range(400)}.items())
     df = spark.createDataFrame([(a, b, r) for (a, b), r in rows], "user_id string, product_id string, rating double")
-    results = [
-        {(r["product_a"], r["product_b"]): round(r["sim"], 9) for r in cf.item_similarity(df, basket, 7).collect()}
-        for basket in (0, 8, 100)
-    ]
-    assert results[0] == results[1] == results[2] and results[0]
+    columns = {}
+    for (user, item), r in rows:
+        columns.setdefault(item, {})[user] = r
+    dot = lambda a, b: sum(x * columns[b].get(u, 0.0) for u, x in columns[a].items())
+    want = {
+        (a, b): round(dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)), 9) for a in columns for b in columns if a != b and dot(a, b) > 0
+    }
+    for size in (7, 1000):
+        assert {(r["product_a"], r["product_b"]): round(r["sim"], 9) for r in cf.item_similarity(df, size).collect()} == want
 
 
 def test_popular_skips_seen(spark):
@@ -251,3 +255,55 @@ def test_enrichment_fills_gaps(spark):
 
     got = persona.enrich_batched(rows, "cache_key", ["n"], ["v"], flaky, batch_size=1).collect()
     assert {r["cache_key"]: r["v"] for r in got} == {"a": "ok", "b": None}
+
+
+def test_quantiles_with_infinities_nan_and_nulls(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(x, float(i)) for i, x in enumerate([inf, 1.0, None, float("nan"), 2.0, 3.0, -inf, 2.0, 1e308, -1e308, 5e-324])], "x double, y double")
+    got = stats.exact_quantiles(df.withColumn("none", F.lit(None).cast("double")), ["x", "y", "none"], [0.0, 0.5, 1.0])
+    assert got == {"x": [-inf, 2.0, inf], "y": [0.0, 5.0, 10.0], "none": [None, None, None]}
+    assert stats.kth_value(df, F.col("x"), 4)[:3] == (2.0, 4, 2)
+    with pytest.raises(ValueError):
+        stats.kth_value(df, F.col("x"), 9)
+
+
+def test_quantiles_equal_the_percentile_function(spark):
+    df = spark.range(5000).select((F.xxhash64("id") % 100_000 / 7).alias("x"), (F.col("id") % 13).cast("double").alias("y"))
+    probs = [0.01, 0.25, 0.5, 0.75, 0.999]
+    want = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in ("x", "y")]).first()
+    got = stats.exact_quantiles(df, ["x", "y"], probs)
+    assert all(got[c] == pytest.approx(list(want[c]), rel=1e-12) for c in ("x", "y"))
+
+
+def test_splits_keep_rows_without_a_time(spark):
+    rows = [("u", None, 1), ("u", None, 2), ("u", "2024-01-01 00:00:00", 3), ("u", "2024-01-02 00:00:00", 4), (None, None, 5)]
+    df = spark.createDataFrame(rows, "user_id string, ts string, n int").withColumn("ts", F.to_timestamp_ntz("ts"))
+    got = {r["n"]: r["split"] for r in ordering.per_user_split(df, "ts", ["n"]).collect()}
+    assert got == {1: "train", 2: "train", 3: "train", 4: "test", 5: "train"}
+    dated = spark.range(10).select(F.lit("u").alias("user_id"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), F.col("id").alias("n"))
+    both = dated.union(spark.range(10).select(F.lit("u"), F.lit(None).cast("timestamp_ntz"), F.col("id") + 100))
+    train = {r["n"] for r in ordering.global_split(both, "ts", ["n"]).where("split = 'train'").collect()}
+    assert train == {*range(8), *range(100, 110)}
+
+
+def test_repeated_catalog_rows_give_an_item_once(spark):
+    log = spark.createDataFrame([("u", "p", "purchase", 1), ("u", "q", "purchase", 2)], "user_id string, product_id string, event_type string, ts int")
+    products = spark.createDataFrame([("p", "a", "x")] * 3 + [("q", "b", "x")], "product_id string, name string, category string")
+    got = [(r["rank"], r["product_id"]) for r in history.first_distinct_items(log, products).orderBy("rank").collect()]
+    assert got == [(1, "p"), (2, "q")]
+
+
+def test_list_similarity_counts_zero_vectors_as_dissimilar(spark):
+    recs = spark.createDataFrame([("u", p) for p in "abc"], "user_id string, product_id string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [0.0, 0.0])], "product_id string, embedding array<double>")
+    assert evaluate.list_similarity(recs, vectors).first()["ils"] == pytest.approx(1 / 3)
+
+
+def test_fill_in_one_slice(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "n int, x string")
+    assert [r["x"] for r in ordering.fill_ordered(df, ["x"], "n", buckets=1).orderBy("n").collect()] == ["a", "a", "a"]
+
+
+def test_one_row_per_key(spark):
+    df = spark.createDataFrame([(1, "b", [1]), (1, "a", [2]), (2, None, None)], "k int, v string, w array<int>")
+    assert sorted((r["k"], r["v"]) for r in ordering.one_per_key(df, "k").collect()) == [(1, "a"), (2, None)]
