@@ -32,9 +32,12 @@ def _(spark, sf):
                          "r.session_like_count", "r.session_purchase_count", "r.session_total_count", "r.current_journey_stage")
 
 
-@register("activity_windows", """
+_WINDOWS = """
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
-  CASE WHEN event_type = 'click' THEN 'like' ELSE event_type END AS event_type, count(*) AS n FROM events GROUP BY 1, 2, 3""")
+  CASE WHEN event_type = 'click' THEN 'like' ELSE event_type END AS event_type, count(*) AS n FROM events GROUP BY 1, 2, 3"""
+
+
+@register("activity_windows", _WINDOWS)
 def _(spark, sf):
     return S.activity_windows(A.interactions_ev(spark, sf))
 
@@ -58,9 +61,12 @@ def _(spark, sf):
     return S.activity_windows(A.interactions_ev(spark, sf), "session")
 
 
-@register("activity_windows_stream")
+@register("activity_windows_stream", _WINDOWS)
 def _(spark, sf):
-    return drained(spark, S.activity_windows(stream(spark, sf)), "windows").drop("batch")
+    """Each batch writes the windows that it changed, those still open included; the last state of a window counts."""
+    rows = drained(spark, S.activity_windows(stream(spark, sf)), "windows", "update")
+    ends = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")]
+    return rows.groupBy(*ends, "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 @register("dedupe_stream", f"WITH {EV} SELECT count(*) AS n, count(DISTINCT event_id) AS n_ids FROM ev")
