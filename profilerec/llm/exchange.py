@@ -19,11 +19,11 @@ REQUEST = "bucket int, unit bigint, tag int, keys binary, weights binary"
 ANSWER = "unit bigint, tag int, bucket int, totals binary, firsts binary"
 
 
-def requests(unit: int, tag: int, keys: np.ndarray, weights: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows of a request for the totals of ``keys``, to which the unit adds ``weights``."""
+def requests(unit: int, tag: int, keys: np.ndarray, weights: np.ndarray, buckets: int, width: int = 64) -> list[tuple]:
+    """Rows of a request for the totals of ``keys`` of ``width`` bits, to which the unit adds ``weights``."""
     unique, place = np.unique(keys, return_inverse=True)
     total = np.bincount(place, weights, len(unique)).astype(np.uint32)
-    cut = np.searchsorted(bucket_of(unique, 64, buckets), np.arange(buckets + 1))
+    cut = np.searchsorted(bucket_of(unique, width, buckets), np.arange(buckets + 1))
     return [
         (b, unit, tag, squeeze(np.diff(unique[cut[b] : cut[b + 1]], prepend=np.uint64(0))), squeeze(total[cut[b] : cut[b + 1]]))
         for b in range(buckets) if cut[b + 1] > cut[b]

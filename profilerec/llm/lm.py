@@ -37,8 +37,8 @@ class InterpolationOptions:
     of 2 to the power of minus ``spare_bits``. ``fine`` histogram steps are one doubling.
     """
 
-    order: int = 2
-    block_bytes: int = 8 << 20
+    order: int = 3
+    block_bytes: int = 4 << 20
     spare_bits: int = 20
     fine: int = 4
     rounds: int = 40
@@ -88,15 +88,12 @@ def gather_blocks(batches, limit: int, note=pa.bool_()):
 
 def _history(sizes, body: bytes, order: int, powers: tokens.Powers) -> tuple[list[np.ndarray], np.ndarray]:
     """([token, the one before, ...], text number) of every token of a block, with an end after each text."""
-    data = np.frombuffer(zstandard.decompress(body), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    n, found, owners, i = len(sizes), [], [], 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + tokens.CHUNK_BYTES, "right")) - 1)
-        word, text = tokens.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers)
+    n, found, owners, begin = len(sizes), [], [], 0
+    for data, offsets in tokens.block_parts(sizes, zstandard.decompress(body)):
+        word, text = tokens.words(data, offsets, powers)
         found.append(word)
-        owners.append(text + i)
-        i = j
+        owners.append(text + begin)
+        begin += len(offsets) - 1
     word, text = np.concatenate([*found, np.zeros(0, np.uint64)]), np.concatenate([*owners, np.zeros(0, np.int64)])
     seq = np.full(len(word) + n, END)
     seq[np.arange(len(word)) + text] = word
@@ -271,9 +268,16 @@ def interpolation_scores(docs: DataFrame, trained: Column, options: Interpolatio
                 level = [np.where(x > 0, np.round(np.log2(np.maximum(x * (v + 1), 1e-300)) * options.fine), -1e6).astype(np.int64) for x in p]
                 # An estimate is at least 1 / n, so its level is no lower than that of v / n.
                 low = math.floor(math.log2((v + 1) / max(n, 1)) * options.fine) - 1
-                table = np.column_stack([_class(context), *[np.where(x < low, -1, np.maximum(x, 0)) for x in level]])[use]
-                cells, count = np.unique(table, axis=0, return_counts=True) if len(table) else (table, np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([*[pa.array(cells[:, i]) for i in range(order + 1)], pa.array(count)], ["c", *names, "n"])
+                # One number per token: the class, then the levels, each with room for 64 doublings.
+                room, cell = 64 * options.fine, _class(context)[use]
+                for x in level:
+                    cell = cell * room + np.where(x < low, -1, np.clip(x, 0, room - 2))[use] + 1
+                cells, count = np.unique(cell, return_counts=True)
+                columns = []
+                for _ in range(order):
+                    columns.insert(0, cells % room - 1)
+                    cells = cells // room
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (cells, *columns, count)], ["c", *names, "n"])
 
     cells = state.select("trained", "lengths", "counts").mapInArrow(bins, "c bigint, " + ", ".join(f"{x} bigint" for x in names) + ", n bigint")
     weights = learn_weights(cells.groupBy("c", *names).agg(F.sum("n").alias("n")).toPandas(), order, options.fine, options.rounds)

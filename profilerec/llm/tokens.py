@@ -54,6 +54,17 @@ def groups(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def block_parts(sizes, body: bytes, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of consecutive groups of the texts, of the given sizes, that ``body`` joins."""
+    data = np.frombuffer(body, np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    n, i = len(sizes), 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j
+
+
 class Powers:
     """Powers of the hash base and of its inverse, kept between groups."""
 
