@@ -132,7 +132,7 @@ def fit_weights(labels: np.ndarray, rows: list[np.ndarray], options: ToxicityOpt
         at = np.flatnonzero(np.isin(vocabulary[index], named))
         choice = [other[int(vocabulary[index[i]])] for i in at]
         partner = np.searchsorted(vocabulary, np.array([c[int(own[i]) % len(c)] if c else vocabulary[index[i]] for i, c in zip(at, choice)], np.int64))
-        w = _descend(y, own, index, size, (own[at], index[at], partner), lasso, options.ridge, options.swap_weight, options.rounds)
+        w = _descend(y, own, index, size, (own[at], index[at], partner), lasso, options.ridge, options.swap_weight, options.rounds if lasso else 4 * options.rounds)
         if lasso:
             vocabulary = np.union1d(vocabulary[w[:-1] != 0], named)
     return vocabulary, w[:-1], float(w[-1])
