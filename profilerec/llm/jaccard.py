@@ -1,8 +1,10 @@
 """Exact similarity join on word shingles by blocked sparse products, and the classes it links.
 
-1. Equal sets become one class, by a fingerprint of the set.
-2. In an order that puts frequent shingles last, a set can only link to a set that shares a shingle
-   of its prefix, whose length follows from its size. Classes that share one are candidates.
+1. Equal sets become one class, by a fingerprint of the set. A class can only link if the share of
+   its shingles that occur in other sets reaches the least similarity; the others drop out, and so
+   do shingles of one set.
+2. With rare shingles first, a set can only link to a set that shares a shingle of its prefix, whose
+   length follows from its size. Classes that share one are candidates.
 3. Rows of the class by shingle incidence matrix, grouped by candidate component and by size, are
    multiplied block by block; overlap counts below the bound that the two sizes imply are discarded.
 4. Links join classes into components. Each block reports a spanning forest of its links and their
@@ -16,84 +18,119 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilerec.llm import tokens
+from profilerec.llm import exchange, tokens
 from profilerec.llm.components import connected_components
-from profilerec.llm.linear import slices
+from profilerec.llm.lm import gather_blocks
 from profilerec.session import StepTables
 
 
 @dataclass(frozen=True)
 class JaccardOptions:
-    """Sets link when ``100 * intersection >= percent * union``.
+    """Sets link when ``100 * intersection >= percent * union``; ``block`` rows make a block of the product.
 
-    ``frequent`` bounds the list of frequent shingles that the prefix order knows; it is found in
-    one of ``sample`` documents. ``sieve_bits`` is the size of the bit field that lets most texts
-    skip the second reading. Both only save work: any order and any sieve give the same links.
+    ``block_bytes`` of text are one unit of work. Keys that only count in how many sets a shingle
+    occurs have ``spare_bits`` more than the logarithm of the bytes of all texts: two that meet
+    cost work, not results.
     """
 
     words: int = 4
     percent: int = 85
-    frequent: int = 1 << 18
-    sample: int = 16
-    sieve_bits: int = 24
     block: int = 1024
+    block_bytes: int = 8 << 20
+    spare_bits: int = 10
 
     def least_overlap(self, a, b):
         """Smallest intersection of linked sets of sizes ``a`` and ``b``."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def prefix(self, n):
-        """A linked set shares one of so many first shingles."""
-        return n - (-(-self.percent * n // 100)) + 1
+    def least_shared(self, n):
+        """A linked set shares at least so many of its ``n`` shingles."""
+        return -(-self.percent * n // 100)
+
+
+#: Texts that are sorted together; a shingle keeps the bits that their number leaves.
+TOGETHER = 1024
+PRINTS, SHINGLES = 0, 1
 
 
 def _sets(data, offsets, powers, options):
     """(shingle, text number) of the distinct shingles of each text, in order; set sizes; fingerprints."""
-    n = len(offsets) - 1
-    word, text = tokens.words(data, offsets, powers)
-    h, own = tokens.shingles(word, text, n, options.words)
-    order = np.lexsort((h, own))
-    h, own = h[order], own[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-    h, own = h[new], own[new]
-    size = np.bincount(own, minlength=n)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.mix(h), dtype=np.uint64)])
-    end = np.cumsum(size)
-    print_ = tokens.mix((total[end] - total[end - size]) * np.uint64(3) + size.astype(np.uint64))
-    return h, own, size, print_.view(np.int64)
-
-
-def _each(options, emit):
-    def run(batches):
-        powers, seen = tokens.Powers(), set()
-        for rows, data, offsets in slices(batches, "text"):
-            out = emit(rows, *_sets(data, offsets, powers, options), seen)
-            if out is not None:
-                yield out
+    shingles, owners, sizes, prints = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
+    for low in range(0, len(offsets) - 1, TOGETHER):
+        cut = offsets[low : low + TOGETHER + 1]
+        n = len(cut) - 1
+        word, text = tokens.words(data[cut[0] : cut[-1]], cut - cut[0], powers)
+        h, own = tokens.shingles(word, text, n, options.words)
+        # One sort of one number: the text, then its shingle without the last 10 bits.
+        key = np.sort((own.astype(np.uint64) << np.uint64(54)) | (h >> np.uint64(10)))
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        h, own = key & np.uint64((1 << 54) - 1), (key >> np.uint64(54)).astype(np.int64)
+        size = np.bincount(own, minlength=n)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.mix(h), dtype=np.uint64)])
+        end = np.cumsum(size)
+        prints.append(tokens.mix((total[end] - total[end - size]) * np.uint64(3) + size.astype(np.uint64)))
+        shingles.append(h)
+        owners.append(own + low)
+        sizes.append(size)
+    return np.concatenate(shingles), np.concatenate(owners), np.concatenate(sizes), np.concatenate(prints)
+
+
+def _sets_of_block(row, options):
+    """Sets of a whole block: as :func:`_sets`, for all its texts, and which set is the first of its kind in it."""
+    powers, parts, begin = tokens.Powers(), [], 0
+    for data, offsets in tokens.block_parts(row["sizes"], zstandard.decompress(row["body"])):
+        h, own, size, print_ = _sets(data, offsets, powers, options)
+        parts.append((h, own + begin, size, print_))
+        begin += len(size)
+    h, own, size, print_ = (np.concatenate(x) for x in zip(*parts))
+    first = np.zeros(len(size), bool)
+    first[np.unique(print_, return_index=True)[1]] = True
+    return h, own, size, print_, first & (size > 0)
+
+
+def _ask(batches, options, bits: int, buckets: int):
+    for batch in batches:
+        for row in batch.to_pylist():
+            h, own, size, print_, first = _sets_of_block(row, options)
+            keys = tokens.mix(h[first[own]]) >> np.uint64(64 - bits)
+            yield exchange.request_batch([
+                *exchange.requests(row["block"], PRINTS, print_, np.ones(len(print_)), buckets),
+                *exchange.requests(row["block"], SHINGLES, keys, np.ones(len(keys)), buckets, bits),
+            ])
+
+
+def _incidence(options, bits: int):
+    """Rows of all texts, and with them the shared shingles of each set that may link to another one."""
+
+    def run(key, block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row = block.iloc[0]
+        h, own, size, print_, first = _sets_of_block(row, options)
+        _, unit = exchange.read_answer(answers, PRINTS, print_)
+        mine = first & (unit == row["block"])
+        asked = first[own]
+        number = np.zeros(len(h), np.int64)
+        number[asked] = exchange.read_answer(answers, SHINGLES, tokens.mix(h[asked]) >> np.uint64(64 - bits))[0]
+        shared = number > 1
+        count = np.bincount(own[shared], minlength=len(size))
+        begin = np.searchsorted(own, np.arange(len(size) + 1))
+        items, lead = [None] * len(size), [None] * len(size)
+        for i in np.flatnonzero(mine & (count >= options.least_shared(size))):
+            s = slice(begin[i], begin[i + 1])
+            use = shared[s]
+            x, f = h[s][use], number[s][use]
+            items[i] = x.tobytes()
+            # Rare shingles first: of these, a linked set shares one.
+            lead[i] = x[np.lexsort((x, f))][: len(x) - options.least_shared(size[i]) + 1].view(np.int64)
+        out = pd.DataFrame({"doc_id": row["ids"], "n": size, "key": print_.view(np.int64), "items": items, "lead": lead})
+        return out.astype({"doc_id": "Int64"})
 
     return run
 
 
-def _first_here(keys: np.ndarray, seen: set) -> np.ndarray:
-    """Whether a key occurs for the first time in this task."""
-    fresh = np.zeros(len(keys), bool)
-    for i, k in enumerate(keys.tolist()):
-        if k not in seen:
-            seen.add(k)
-            fresh[i] = True
-    return fresh
-
-
-def _bits(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = tokens.mix(keys.view(np.uint64)) >> np.uint64(64 - bits)
-    return (h >> np.uint64(6)).astype(np.int64), h & np.uint64(63)
-
-
 def _components_of(adjacent: np.ndarray) -> np.ndarray:
     """Smallest row number that each row of a symmetric boolean matrix reaches."""
     label = np.arange(len(adjacent))
@@ -167,71 +204,30 @@ def similarity_classes(docs: DataFrame, options: JaccardOptions | None = None) -
     options = options or JaccardOptions()
     spark = docs.sparkSession
     steps = StepTables(spark, "jaccard")
-    rows = docs.select("doc_id", "text")
-
-    def sizes(part, h, own, size, print_, seen):
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array(print_)], ["doc_id", "n", "key"])
-
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    known = steps.write(rows.mapInArrow(_each(options, sizes), f"doc_id {id_type}, n bigint, key bigint"), "sizes")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("note"), "text")
+    blocks = steps.write(rows.mapInArrow(
+        lambda b: gather_blocks(b, options.block_bytes), "block bigint, ids array<bigint>, notes array<boolean>, sizes array<bigint>, body binary"), "blocks")
+    size = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+    bits = min(64, math.ceil(math.log2(size + 2)) + options.spare_bits)
+    buckets = max(1, math.ceil(size / (24 << 20)))
+    asked = blocks.select("block", "sizes", "body").mapInArrow(lambda b: _ask(b, options, bits, buckets), exchange.REQUEST)
+    answers = steps.write(exchange.answer(asked), "answers")
+    sets = steps.write(blocks.select("block", "ids", "sizes", "body").groupBy("block").cogroup(answers.groupBy("unit")).applyInPandas(
+        _incidence(options, bits), "doc_id bigint, n bigint, key bigint, items binary, lead array<bigint>"), "sets")
+    steps.drop("blocks", "answers")
+    known = sets.select("doc_id", "n", "key")
     classes = steps.write(known.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
-
-    def every(part, h, own, size, print_, seen):
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
-
-    sampled = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(options.sample)) == 0)
-    counts = sampled.mapInArrow(_each(options, every), "h bigint").groupBy("h").count().where("count > 1")
-    top = counts.orderBy(F.desc("count"), "h").limit(options.frequent).toPandas()
-    top = top.sort_values("h")
-    frequent = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["count"].to_numpy(np.int64)))
-
-    def postings(part, h, own, size, print_, seen):
-        fresh = _first_here(print_, seen) & (size > 0)
-        take = fresh[own]
-        h, own = h[take], own[take]
-        hashes, number = frequent.value
-        rank = np.zeros(len(h), np.int64)
-        if len(hashes) and len(h):
-            at = np.minimum(np.searchsorted(hashes, h.view(np.int64)), len(hashes) - 1)
-            rank = np.where(hashes[at] == h.view(np.int64), number[at], 0)
-        order = np.lexsort((h, rank, own))
-        h, own = h[order], own[order]
-        first = np.searchsorted(own, np.arange(len(size)))
-        lead = np.arange(len(own)) - first[own] < options.prefix(size)[own]
-        return pa.RecordBatch.from_arrays([pa.array(h[lead].view(np.int64)), pa.array(print_[own[lead]])], ["h", "key"])
-
-    posted = steps.write(rows.mapInArrow(_each(options, postings), "h bigint, key bigint"), "postings")
+    posted = steps.write(sets.where("lead is not null").select("key", F.explode("lead").alias("h")), "postings")
     heads = posted.groupBy("h").agg(F.min("key").alias("head"), F.max("key").alias("tail")).where("head <> tail").select("h", "head")
     pairs = steps.write(posted.join(steps.write(heads, "heads"), "h").where("key <> head").select("key", "head").distinct(), "pairs")
     steps.drop("postings", "heads")
     groups = steps.write(connected_components(pairs, "key", "head").withColumnRenamed("node", "key"), "groups")
-
-    # A bit field of fixed size tells the second reading which texts can be left out.
-    bit = F.shiftrightunsigned(F.col("h"), 64 - options.sieve_bits)
-    field = np.zeros(1 << (options.sieve_bits - 6), np.uint64)
-    mixed = groups.select("key").mapInArrow(lambda b: (pa.RecordBatch.from_arrays(
-        [pa.array(tokens.mix(x.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["h"]) for x in b), "h bigint")
-    one = F.lit(1).cast("bigint")
-    words = mixed.select(F.shiftrightunsigned(bit, 6).alias("w"), F.call_function("shiftleft", one, bit.bitwiseAND(63).cast("int")).alias("b"))
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas().itertuples():
-        field[r.w] = np.uint64(r.b & 0xFFFFFFFFFFFFFFFF)
-    sieve = spark.sparkContext.broadcast(field)
-
-    def items(part, h, own, size, print_, seen):
-        word, place = _bits(print_, options.sieve_bits)
-        hit = (sieve.value[word] >> place) & np.uint64(1) == 1
-        hit &= size > 0
-        hit[hit] = _first_here(print_[hit], seen)
-        end = np.cumsum(size)
-        return pa.RecordBatch.from_arrays([
-            pa.array(print_[hit]), pa.array(size[hit].astype(np.int64)),
-            pa.array([h[end[i] - size[i] : end[i]].tobytes() for i in np.flatnonzero(hit)], pa.binary()),
-        ], ["key", "n", "items"])
-
-    incidence = rows.mapInArrow(_each(options, items), "key bigint, n bigint, items binary").dropDuplicates(["key"])
-    # Linked sizes differ by one band at most.
+    sized = groups.join(sets.where("items is not null").select("key", "n"), "key").join(classes.select("key", "copies"), "key")
+    # Linked sizes differ by one band at most; a component that fits one block needs no bands.
+    whole = sized.groupBy("component").agg(F.count("*").alias("all"))
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(options.percent / 100) + 1e-9).cast("int")
-    member = steps.write(incidence.join(groups, "key").join(classes.select("key", "copies"), "key").withColumn("band", band), "incidence")
+    member = sized.join(steps.write(whole, "whole"), "component").withColumn("band", F.when(F.col("all") > options.block, band).otherwise(0))
+    member = steps.write(member, "member")
     parts = F.ceil(F.col("rows") / options.block).cast("int")
     shape = member.groupBy("component", "band").agg(F.count("*").alias("rows")).select("component", "band", parts.alias("parts"))
     shape = steps.write(shape, "shape")
@@ -243,7 +239,6 @@ def similarity_classes(docs: DataFrame, options: JaccardOptions | None = None) -
     near = steps.write(near.fillna(0, ["above", "below"]), "near")
     spread = member.join(near, ["component", "band"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     up_to = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-
     own, zero = F.col("own"), F.lit(0)
     same = F.transform(up_to("parts"), lambda p: F.struct(
         F.col("band").alias("band"), zero.alias("step"), F.least(p, own).alias("low"), F.greatest(p, own).alias("high"), F.when(own <= p, 0).otherwise(1).alias("side")))
@@ -251,10 +246,12 @@ def similarity_classes(docs: DataFrame, options: JaccardOptions | None = None) -
         F.col("band").alias("band"), F.lit(1).alias("step"), own.alias("low"), p.alias("high"), zero.alias("side")))
     under = F.transform(up_to("below"), lambda p: F.struct(
         (F.col("band") - 1).alias("band"), F.lit(1).alias("step"), p.alias("low"), own.alias("high"), F.lit(1).alias("side")))
-    meet = spread.select("key", "n", "items", "copies", "component", F.explode(F.concat(same, over, under)).alias("m"))
-    meet = meet.select("key", "n", "items", "copies", F.col("m.side").alias("side"),
-                       ((F.col("m.step") == 0) & (F.col("m.low") == F.col("m.high"))).alias("alone"),
-                       F.xxhash64("component", "m.band", "m.step", "m.low", "m.high").alias("pair"))
+    meetings = spread.select("key", "copies", F.transform(F.concat(same, over, under), lambda m: F.struct(
+        m["side"].alias("side"), ((m["step"] == 0) & (m["low"] == m["high"])).alias("alone"),
+        F.xxhash64("component", m["band"], m["step"], m["low"], m["high"]).alias("pair"))).alias("meetings"))
+    meetings = steps.write(meetings, "meetings")
+    meet = sets.where("items is not null").select("key", "n", "items").join(meetings, "key").select(
+        "key", "n", "items", "copies", F.explode("meetings").alias("m")).select("key", "n", "items", "copies", "m.side", "m.alone", "m.pair")
     total = shape.agg(F.sum(F.col("parts"))).first()[0] or 0
     bins = max(1, total // 8, spark.sparkContext.defaultParallelism)
 
@@ -266,7 +263,7 @@ def similarity_classes(docs: DataFrame, options: JaccardOptions | None = None) -
     linked = steps.write(dealt, "links")
     joined = connected_components(linked.where("key <> root"), "key", "root").withColumnRenamed("node", "key")
     joined = steps.write(joined, "joined")
-    steps.drop("incidence", "groups", "near", "shape", "pairs")
+    steps.drop("groups", "near", "shape", "whole", "member", "meetings", "pairs")
     least = steps.write(joined.join(classes, "key").groupBy("component").agg(F.min("first").alias("component_first")), "least")
     others = linked.groupBy("key").agg(F.sum("links").alias("other_links"))
     summary = classes.join(joined.join(least, "component"), "key", "left").join(others, "key", "left").select(

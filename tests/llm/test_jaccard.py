@@ -36,7 +36,7 @@ def brute(rows, size, percent):
     return sorted((repr(rows[i][0]), len(sets[i]), smallest[find(i)] if sets[i] else rows[i][0], links[i]) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("options", [jaccard.JaccardOptions(), jaccard.JaccardOptions(words=5, percent=80, block=4, frequent=3, sample=1, sieve_bits=6)])
+@pytest.mark.parametrize("options", [jaccard.JaccardOptions(), jaccard.JaccardOptions(words=5, percent=80, block=4, block_bytes=1000, spare_bits=0)])
 def test_classes_equal_all_pairs(spark, docs_of, odd_rows, options):
     rng = random.Random(2)
     words = [f"v{i}" for i in range(60)]
