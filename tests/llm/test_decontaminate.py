@@ -1,5 +1,6 @@
 """Overlaps against every alignment of every document with every item."""
 
+import itertools
 import random
 
 import numpy as np
@@ -46,3 +47,40 @@ def test_overlaps_equal_all_alignments(spark, docs_of, odd_rows):
     bad = {r["doc_id"] for r in got}
     assert len(kept) == sum(i not in bad for i, _ in docs)
     assert decontaminate.overlaps(df.limit(0), table).collect() == [] and decontaminate.overlaps(df, table.limit(0)).collect() == []
+
+
+def meets(equal, length):
+    """Whether any stretch has 12 equal words (all, of a shorter item) and 80 % equal, tried one by one."""
+    count = [0, *np.cumsum(equal).tolist()]
+    return any(
+        count[b] - count[a] >= min(12, length) and 5 * (count[b] - count[a]) >= 4 * (b - a)
+        for a in range(len(equal)) for b in range(a + 1, len(equal) + 1)
+    )
+
+
+def replaced(n, k):
+    return [[i not in out for i in range(n)] for out in itertools.combinations(range(n), k)]
+
+
+def test_best_stretch_equals_all_stretches():
+    rng = random.Random(4)
+    rows = [*replaced(16, 2), *replaced(16, 3), *replaced(20, 3), [], [False] * 5, *([rng.random() < 0.75 for _ in range(40)] for _ in range(300))]
+    for equal in rows:
+        start, end, matched = decontaminate._best_stretch(np.array(equal, bool), 0.8)
+        every = [(sum(equal[a:b]), a - b, -a) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if 5 * sum(equal[a:b]) >= 4 * (b - a)]
+        m, n, a = max([x for x in every if x[0] > 0], default=(0, 0, 0))
+        assert (start, end, matched) == (-a, -a - n, m)
+
+
+def test_every_overlap_of_the_stated_threshold_is_found(spark, docs_of):
+    items, docs, want = [], [], set()
+    for number, (n, k) in enumerate([(15, 3), (16, 2), (16, 3), (16, 4), (20, 4), (13, 2)]):
+        item = [f"i{number}w{j}" for j in range(n)]
+        items.append((number, " ".join(item)))
+        for row, equal in enumerate(replaced(n, k)[:: 1 if n < 20 else 37]):
+            doc = 10_000 * number + row
+            docs.append((doc, " ".join(["left", *(w if same else "other" for w, same in zip(item, equal)), "right"])))
+            want |= {(doc, number)} if meets(equal, n) else set()
+    got = decontaminate.overlaps(docs_of(docs), spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert all(r["matched"] >= 12 and 5 * r["matched"] >= 4 * r["length"] for r in got)
