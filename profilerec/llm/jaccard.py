@@ -54,6 +54,8 @@ class JaccardOptions:
 
 #: Texts that are sorted together; a shingle keeps the bits that their number leaves.
 TOGETHER = 1024
+#: Components of at most this part of a block are multiplied together with others, a block's worth at a time.
+SMALL = 16
 PRINTS, SHINGLES = 0, 1
 
 
@@ -224,9 +226,9 @@ def similarity_classes(docs: DataFrame, options: JaccardOptions | None = None) -
     groups = steps.write(connected_components(pairs, "key", "head").withColumnRenamed("node", "key"), "groups")
     sized = groups.join(sets.where("items is not null").select("key", "n"), "key").join(classes.select("key", "copies"), "key")
     # Linked sizes differ by one band at most; a component that fits one block needs no bands.
-    whole = sized.groupBy("component").agg(F.count("*").alias("all"))
+    whole = steps.write(sized.groupBy("component").agg(F.count("*").alias("all")), "whole")
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(options.percent / 100) + 1e-9).cast("int")
-    member = sized.join(steps.write(whole, "whole"), "component").withColumn("band", F.when(F.col("all") > options.block, band).otherwise(0))
+    member = sized.join(whole, "component").withColumn("band", F.when(F.col("all") > options.block, band).otherwise(0))
     member = steps.write(member, "member")
     parts = F.ceil(F.col("rows") / options.block).cast("int")
     shape = member.groupBy("component", "band").agg(F.count("*").alias("rows")).select("component", "band", parts.alias("parts"))
@@ -246,20 +248,23 @@ def similarity_classes(docs: DataFrame, options: JaccardOptions | None = None) -
         F.col("band").alias("band"), F.lit(1).alias("step"), own.alias("low"), p.alias("high"), zero.alias("side")))
     under = F.transform(up_to("below"), lambda p: F.struct(
         (F.col("band") - 1).alias("band"), F.lit(1).alias("step"), p.alias("low"), own.alias("high"), F.lit(1).alias("side")))
-    meetings = spread.select("key", "copies", F.transform(F.concat(same, over, under), lambda m: F.struct(
+    # A small component shares a group with others; any other pair of blocks is a group of its own.
+    few = F.col("all") <= options.block // SMALL
+    small = whole.where(few).agg(F.sum("all")).first()[0] or 0
+    bins = max(1, math.ceil(small / options.block))
+    bin_ = F.when(few, F.pmod(F.xxhash64("component"), F.lit(bins)))
+    meetings = spread.select("key", "copies", bin_.alias("bin"), F.transform(F.concat(same, over, under), lambda m: F.struct(
         m["side"].alias("side"), ((m["step"] == 0) & (m["low"] == m["high"])).alias("alone"),
         F.xxhash64("component", m["band"], m["step"], m["low"], m["high"]).alias("pair"))).alias("meetings"))
     meetings = steps.write(meetings, "meetings")
     meet = sets.where("items is not null").select("key", "n", "items").join(meetings, "key").select(
-        "key", "n", "items", "copies", F.explode("meetings").alias("m")).select("key", "n", "items", "copies", "m.side", "m.alone", "m.pair")
-    total = shape.agg(F.sum(F.col("parts"))).first()[0] or 0
-    bins = max(1, total // 8, spark.sparkContext.defaultParallelism)
+        "key", "n", "items", "copies", "bin", F.explode("meetings").alias("m")).select("key", "n", "items", "copies", "bin", "m.side", "m.alone", "m.pair")
 
     def products(part: pd.DataFrame) -> pd.DataFrame:
         found = [_links_of_block(block, options) for _, block in part.groupby("pair", sort=False) if len(block) > 1]
         return pd.concat(found) if found else pd.DataFrame({"key": [], "root": [], "links": []}).astype("int64")
 
-    dealt = meet.groupBy(F.pmod(F.col("pair"), F.lit(bins)).alias("bin")).applyInPandas(products, "key bigint, root bigint, links bigint")
+    dealt = meet.withColumn("group", F.coalesce("bin", "pair")).drop("bin").groupBy("group").applyInPandas(products, "key bigint, root bigint, links bigint")
     linked = steps.write(dealt, "links")
     joined = connected_components(linked.where("key <> root"), "key", "root").withColumnRenamed("node", "key")
     joined = steps.write(joined, "joined")

@@ -2,9 +2,11 @@
 
 import random
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
 
 from profilerec.llm import jaccard
 
@@ -57,3 +59,27 @@ def test_classes_equal_all_pairs(spark, docs_of, odd_rows, options):
 
 def test_empty_table(docs_of):
     assert jaccard.similarity_classes(docs_of([])).collect() == []
+
+
+def test_a_group_holds_one_pair_of_blocks(spark, docs_of, monkeypatch, tmp_path):
+    """120 near copies in blocks of 4: no frame of a task may grow with their number."""
+    rng, folder, apply = random.Random(3), str(tmp_path), PandasGroupedOpsMixin.applyInPandas
+
+    def watched(self, func, schema):
+        def counted(part):
+            if "pair" in part.columns:
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(len(part)))
+            return func(part)
+
+        return apply(self, counted, schema)
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", watched)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:p] + [f"x{i}"] + base[p + 1 :])) for i in range(120) for p in [rng.randrange(120)]]
+    options = jaccard.JaccardOptions(block=4, percent=80)
+    got = jaccard.similarity_classes(docs_of(rows), options).collect()
+    assert sorted((repr(r["doc_id"]), r["n_shingles"], r["component_id"], r["links"]) for r in got) == brute(rows, 4, 80)
+    frames = [int(f.read_text()) for f in tmp_path.iterdir()]
+    # 30 parts of 4 on average, dealt by hash: two of them may hold a few more.
+    assert len(frames) >= 30 * 31 // 2 - 31 and max(frames) <= 32, (len(frames), max(frames))
