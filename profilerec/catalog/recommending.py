@@ -157,7 +157,8 @@ def _(spark, sf):
 @register("biased_mf")
 def _(spark, sf):
     pairs = cf.ratings(A.interactions_ord(spark, sf))
-    users, items, dims, _mean = cf.biased_mf(pairs, rank=8, iterations=5)
+    users, items, dims, mean = cf.biased_mf(pairs, rank=8, iterations=5)
+    users, items = cf.with_cold(users, items, A.customers(spark, sf), A.products(spark, sf), dims, mean)
     return cf.recommend_factors(users, items, dims, 10, cf.seen_pairs(A.interactions_ord(spark, sf)))
 
 

@@ -215,7 +215,7 @@ def biased_mf(pairs: DataFrame, rank: int = 20, reg: float = 0.02, iterations: i
     """(user_id, vec), (product_id, vec), dims: the dot product is mean + biases + factors.
 
     ALS learns the residual of the bias model. Users or items without ratings are simply absent;
-    :func:`cold_vectors` gives them a bias-only vector.
+    :func:`with_cold` gives them a bias-only vector.
     """
     mean, user_bias, item_bias = bias_model(pairs, reg)
     user_no = global_row_index(user_bias, ["user_id"], "user_no").withColumn("user_no", F.col("user_no").cast("int"))
@@ -242,11 +242,22 @@ def biased_mf(pairs: DataFrame, rank: int = 20, reg: float = 0.02, iterations: i
 
 def cold_vectors(ids: DataFrame, known: DataFrame, key: str, rank: int, tail: Sequence[float]) -> DataFrame:
     """Vectors for ids without ratings: zero factors and the given bias terms."""
-    missing = ids.select(key).distinct().join(known.select(key), key, "left_anti")
+    missing = ids.select(key).where(F.col(key).isNotNull()).distinct().join(known.select(key), key, "left_anti")
     vector = F.concat(F.array_repeat(F.lit(0.0), rank), F.array(*[F.lit(float(t)) for t in tail]))
     return known.unionByName(missing.select(key, dense(vector).alias("vec")))
 
 
+def with_cold(
+    users: DataFrame, items: DataFrame, all_users: DataFrame | None, all_items: DataFrame | None, dims: int, mean: float
+) -> tuple[DataFrame, DataFrame]:
+    """Vectors of :func:`biased_mf` for all given ids: a cold user scores mean + item bias, a cold item mean + user bias."""
+    if all_users is not None:
+        users = cold_vectors(all_users, users, "user_id", dims - 2, (mean, 1.0))
+    if all_items is not None:
+        items = cold_vectors(all_items, items, "product_id", dims - 2, (1.0, 0.0))
+    return users, items
+
+
 def nmf(pairs: DataFrame, rank: int = 20, iterations: int = 50, tol: float = 1e-4, seed: int = 42,
         check_every: int = 5) -> tuple[DataFrame, DataFrame, int, list[float]]:
     """Non-negative factors of the zero-filled rating matrix, and the loss after each check.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from profilerec.operators import augment, blocks, cf, clean, cluster, evaluate, history, journey, ordering, persona, rank, stats, vectors
 from profilerec.operators.skew import join_per_key
+from profilerec.plans import recommend as plan
 
 
 def test_fill_ordered_matches_row_order(spark):
@@ -178,6 +179,25 @@ def test_nmf_is_non_negative_and_improves(spark):
         assert side.where(F.exists("vec.val", lambda x: x < 0)).count() == 0
 
 
+def test_biased_mf_scores_cold_users_and_items(spark):
+    rng = random.Random(6)
+    rows = [(f"u{i}", f"p{j}", float(rng.choice([1, 3, 5]))) for i in range(8) for j in range(6) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "user_id string, product_id string, rating double")
+    people = spark.createDataFrame([("u0",), ("cold",), (None,)], "user_id string")
+    goods = spark.createDataFrame([("p0",), ("new",), ("new",)], "product_id string")
+    users, items, dims = plan.factor_vectors(df, "biased_mf", people, goods, rank=3, iterations=2)
+    got = {(r["user_id"], r["product_id"]): r["score"] for r in cf.recommend_factors(users, items, dims, 100).collect()}
+    mean, user_bias, item_bias = cf.bias_model(df)
+    item_of = {r["product_id"]: r["item_bias"] for r in item_bias.collect()}
+    user_of = {r["user_id"]: r["user_bias"] for r in user_bias.collect()}
+    assert len(got) == (len(user_of) + 1) * (len(item_of) + 1)
+    for p, b in item_of.items():
+        assert got["cold", p] == pytest.approx(mean + b)
+    for u, b in user_of.items():
+        assert got[u, "new"] == pytest.approx(mean + b)
+    assert got["cold", "new"] == pytest.approx(mean)
+
+
 def test_metrics(spark):
     recs = spark.createDataFrame([("m", "u", p, i + 1) for i, p in enumerate("abc")], "model string, user_id string, product_id string, rank int")
     truth = spark.createDataFrame([("u", "b"), ("u", "z")], "user_id string, product_id string")
