@@ -25,20 +25,24 @@ from profilerec.session import StepTables
 
 #: Quanta are multiples of one token over this power of two.
 FINE = 12
+#: Rounds times queues that are reckoned at once.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
 class PackingOptions:
-    """``window`` sequences make a window; ``queues`` bounds how many sources have a queue of their own.
+    """``window`` sequences make a window. Every source has a queue of its own, unless ``queues`` bounds
+    how many have: then those with most bytes have one, and the rest share one.
 
-    ``targets`` maps a source to its share of each window, relative to the others; a source without
-    an entry, or all of them where it is None, take their share of all tokens. When a queue is empty,
-    the others go on with their quanta.
+    ``targets`` maps a source to its share of each window, relative to the others where all have an
+    entry. Else the entries are shares of the whole window, less than 1 together, and the other
+    sources divide what remains by their tokens. When a queue is empty, the others go on with their
+    quanta.
     """
 
     length: int = 1024
     window: int = 16
-    queues: int = 255
+    queues: int | None = None
     end_id: int = 0
     targets: tuple[tuple[str, float], ...] | None = None
 
@@ -80,20 +84,39 @@ def encoder(path: str):
 
 
 def _queue_names(docs: DataFrame, source: str, options: PackingOptions) -> list[str]:
-    """Sources with a queue of their own: targets, then those with most documents; the rest share one."""
+    """Sources with a queue of their own, targets first."""
     named = [s for s, _ in options.targets or ()]
-    counts = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("s")).count()
-    top = counts.orderBy(F.desc("count"), "s").limit(options.queues).collect()
+    size = F.sum(F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))) if options.queues is not None else F.count("*")
+    sizes = docs.groupBy(_source(source).alias("s")).agg(size.alias("size"))
+    if options.queues is None:
+        return list(dict.fromkeys([*named, *sorted(r["s"] for r in sizes.collect())]))
+    top = sizes.orderBy(F.desc("size"), "s").limit(options.queues).collect()
     return list(dict.fromkeys([*named, *sorted(r["s"] for r in top)]))[: max(options.queues, len(named))]
 
 
-def _encode(batches, path: str, end_id: int, queues: int):
+def _source(source: str):
+    return F.coalesce(F.col(source).cast("string"), F.lit(""))
+
+
+def _shares(names: list[str], totals: np.ndarray, targets: dict[str, float]) -> np.ndarray:
+    """Share of each queue, the last one without a name."""
+    given = np.array([targets.get(name, 0.0) for name in names] + [0.0])
+    other = np.where([name not in targets for name in names] + [True], totals, 0).astype(float)
+    if other.sum() > 0:
+        if given.sum() >= 1:
+            raise ValueError("targets take whole windows, but other sources have tokens too")
+        given = given + (1 - given.sum()) * other / other.sum()
+    return given / max(given.sum(), 1e-300)
+
+
+def _encode(batches, path: str, end_id: int, number):
     """Per document its ids, and where they begin among its queue's tokens of this task."""
-    encode, part, sent = encoder(path), TaskContext.get().partitionId(), np.zeros(queues + 1, np.int64)
+    encode, part, queue_of = encoder(path), TaskContext.get().partitionId(), number.value
+    sent = np.zeros(len(queue_of) + 1, np.int64)
     for batch in batches:
         for first, n, _, _ in tokens.groups(batch.column(2)):
             rows = batch.slice(first, n)
-            queue = rows.column(1).to_numpy(zero_copy_only=False)
+            queue = np.array([queue_of.get(x, len(queue_of)) for x in rows.column(1).to_pylist()], np.int32)
             coded, starts = [], np.zeros(n, np.int64)
             for i, text in enumerate(rows.column(2).to_pylist()):
                 ids = np.append(encode(text), np.uint32(end_id)) if text else np.array([end_id], np.uint32)
@@ -102,7 +125,7 @@ def _encode(batches, path: str, end_id: int, queues: int):
                 coded.append(ids)
             narrow = np.uint16 if max(int(c.max()) for c in coded) < 1 << 16 else np.uint32
             yield pa.RecordBatch.from_arrays([
-                rows.column(0), pa.array(np.full(n, part, np.int64)), rows.column(1), pa.array([len(c) for c in coded], pa.int64()),
+                rows.column(0), pa.array(np.full(n, part, np.int64)), pa.array(queue), pa.array([len(c) for c in coded], pa.int64()),
                 pa.array(starts), pa.array(np.full(n, np.dtype(narrow).itemsize, np.int32)),
                 pa.array([c.astype(narrow).tobytes() for c in coded], pa.binary()),
             ], ["doc_id", "part", "queue", "n", "at", "width", "ids"])
@@ -110,7 +133,9 @@ def _encode(batches, path: str, end_id: int, queues: int):
 
 def sent(rounds: np.ndarray, quanta: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """Tokens that each queue has sent after so many rounds: a row per entry of ``rounds``."""
-    return np.minimum(totals[None, :], (rounds[:, None] * quanta[None, :]) >> FINE)
+    # A queue needs so many rounds; the bound keeps the product within 64 bits.
+    needed = -(-(totals << FINE) // quanta)
+    return np.minimum(totals[None, :], (np.minimum(rounds[:, None], needed[None, :]) * quanta[None, :]) >> FINE)
 
 
 def place(queue: np.ndarray, start: np.ndarray, n: np.ndarray, quanta: np.ndarray, totals: np.ndarray, length: int):
@@ -122,17 +147,24 @@ def place(queue: np.ndarray, start: np.ndarray, n: np.ndarray, quanta: np.ndarra
     step = quanta[queue]
     first = -(-((start + 1) << FINE) // step) - 1
     last = -(-((start + n) << FINE) // step) - 1
-    count = last - first + 1
+    # A queue with less than a token a round sends in some rounds only: those of its tokens.
+    slow = step < 1 << FINE
+    count = np.where(slow, n, last - first + 1)
     row = np.repeat(np.arange(len(queue)), count)
-    r = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+    k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    r = np.where(slow[row], -(-((start[row] + k + 1) << FINE) // step[row]) - 1, first[row] + k)
     q = queue[row]
-    before, after = sent(r, quanta, totals), sent(r + 1, quanta, totals)
-    pick = np.arange(len(row))
-    low = np.maximum(before[pick, q], start[row])
-    high = np.minimum(after[pick, q], (start + n)[row])
-    # In a round the queues send in order: those before this one are one round further.
-    ahead = np.concatenate([np.zeros((len(row), 1), np.int64), np.cumsum(after - before, axis=1)], axis=1)[pick, q]
-    stream = before.sum(axis=1) + ahead + low - before[pick, q]
+    low, high, stream = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+    many = max(1, CELLS // len(totals))
+    for i in range(0, len(row), many):
+        part = slice(i, i + many)
+        before, after = sent(r[part], quanta, totals), sent(r[part] + 1, quanta, totals)
+        pick, own = np.arange(len(before)), q[part]
+        low[part] = np.maximum(before[pick, own], start[row[part]])
+        high[part] = np.minimum(after[pick, own], (start + n)[row[part]])
+        # In a round the queues send in order: those before this one are one round further.
+        ahead = np.cumsum(after - before, axis=1)[pick, own] - (after - before)[pick, own]
+        stream[part] = before.sum(axis=1) + ahead + low[part] - before[pick, own]
     size = high - low
     keep = size > 0
     row, low, size, stream = row[keep], low[keep], size[keep], stream[keep]
@@ -156,19 +188,16 @@ def pack(docs: DataFrame, tokenizer: str, options: PackingOptions | None = None,
     spark = docs.sparkSession
     steps = StepTables(spark, "packing")
     names = _queue_names(docs, source, options)
-    lookup = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(i))]) if names else None
-    own = F.coalesce(F.element_at(lookup, F.coalesce(F.col(source), F.lit(""))), F.lit(len(names))) if names else F.lit(0)
-    rows = docs.select("doc_id", own.cast("int").alias("queue"), "text")
+    rows = docs.select("doc_id", _source(source).alias("queue"), "text")
+    number = spark.sparkContext.broadcast({name: i for i, name in enumerate(names)})
     schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("part bigint, queue int, n bigint, at bigint, width int, ids binary").fields])
     count, end_id = len(names), options.end_id
-    coded = steps.write(rows.mapInArrow(lambda b: _encode(b, tokenizer, end_id, count), schema), "ids")
+    coded = steps.write(rows.mapInArrow(lambda b: _encode(b, tokenizer, end_id, number), schema), "ids")
     sums = steps.write(coded.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
     totals = np.zeros(count + 1, np.int64)
     for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():
         totals[r["queue"]] = r["n"]
-    given = dict(options.targets or ())
-    share = np.array([given.get(name, total) if given else total for name, total in zip([*names, None], totals)], float)
-    share = share / max(share.sum(), 1e-300)
+    share = _shares(names, totals, dict(options.targets or ()))
     quanta = np.maximum(np.round(options.length * options.window * share * (1 << FINE)).astype(np.int64), 1)
     begin = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("part", "queue", F.coalesce(begin, F.lit(0)).alias("before"))

@@ -59,3 +59,28 @@ def test_few_queues_share_the_rest(spark, docs_of):
         df = df.union(docs_of([(i, "b " * 50)], f"s{i}"))
     rows = packing.pack(df, PATH, packing.PackingOptions(length=16, queues=2)).collect()
     check(rows, [(1, "a " * 50), *[(i, "b " * 50) for i in range(2, 9)]], 16)
+
+
+def test_a_source_of_few_long_documents_has_its_own_queue(spark, docs_of):
+    """300 sources of two short documents and two of a single long one: windows hold the shares of both."""
+    rows = [(i, "word " * 3, "en", f"s{i % 300:03d}", 15) for i in range(600)] + [(1000 + i, "long " * 2000, "en", "yz"[i], 10000) for i in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    options = packing.PackingOptions(length=128, window=4)
+    pieces = packing.pack(df, PATH, options).collect()
+    check(pieces, [r[:2] for r in rows], 128)
+    total = sum(r["length"] for r in pieces)
+    for doc in (1000, 1001):
+        share = 3 * 512 * sum(r["length"] for r in pieces if r["doc_id"] == doc) / total
+        early = sum(r["length"] for r in pieces if r["doc_id"] == doc and r["sequence_id"] < 12)
+        # Single tokens of the 300 small queues fall into the same rounds and shift a window.
+        assert abs(early - share) <= 310
+
+
+def test_missing_targets_share_the_rest(spark, docs_of):
+    df = docs_of([(i, "alpha beta gamma " * 40) for i in range(20)], "a")
+    df = df.union(docs_of([(100 + i, "delta epsilon " * 70) for i in range(60)], "b")).union(docs_of([(200 + i, "zeta eta " * 70) for i in range(60)], "c"))
+    pieces = packing.pack(df, PATH, packing.PackingOptions(length=32, window=8, targets=(("a", 0.5),)), with_ids=False).toPandas()
+    a = pieces[pieces["doc_id"] < 100].groupby(pieces["sequence_id"] // 8)["length"].sum()
+    assert (abs(a.iloc[:8] - 128) <= 3).all()
+    with pytest.raises(ValueError):
+        packing.pack(df, PATH, packing.PackingOptions(targets=(("a", 1.0),)))
