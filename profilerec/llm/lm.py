@@ -205,11 +205,20 @@ def _class(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0).astype(np.int64)
 
 
-def learn_weights(histogram: pd.DataFrame, order: int, fine: int, rounds: int) -> np.ndarray:
+def _levels(estimates: list[np.ndarray], v: int, low: int, fine: int) -> list[np.ndarray]:
+    """Steps of each estimate above ``low`` steps over the uniform one, -1 where it is 0; room for 64 doublings."""
+    out = []
+    for x in estimates:
+        level = np.round(np.log2(np.maximum(x * (v + 1), 1e-300)) * fine) - low
+        out.append(np.where(x > 0, np.clip(level, 0, 64 * fine - 2), -1).astype(np.int64))
+    return out
+
+
+def learn_weights(histogram: pd.DataFrame, order: int, fine: int, rounds: int, low: int = 0) -> np.ndarray:
     """Row per context class: weights of the uniform estimate and of each order, by expectation-maximisation.
 
-    ``histogram`` has c (class), b1, b2, ... (estimate in steps over the uniform one, -1 for none)
-    and n (tokens). Each weight starts equal and gets one extra token's share, so none is zero.
+    ``histogram`` has c (class), b1, b2, ... (estimate in steps above ``low`` steps over the
+    uniform one, -1 for none) and n (tokens). Each weight starts equal and gets one extra token's share, so none is zero.
     """
     classes = 66
     weights = np.full((classes, order + 1), 1.0 / (order + 1))
@@ -217,7 +226,7 @@ def learn_weights(histogram: pd.DataFrame, order: int, fine: int, rounds: int) -
         weights[:, 1:], weights[:, 0] = 0.0, 1.0
         return weights
     c, n = histogram["c"].to_numpy(int), histogram["n"].to_numpy(float)
-    p = np.column_stack([np.ones(len(c)), *[np.where(histogram[f"b{k}"] < 0, 0.0, 2.0 ** (histogram[f"b{k}"] / fine)) for k in range(1, order + 1)]])
+    p = np.column_stack([np.ones(len(c)), *[np.where(histogram[f"b{k}"] < 0, 0.0, 2.0 ** ((histogram[f"b{k}"] + low) / fine)) for k in range(1, order + 1)]])
     for _ in range(rounds):
         share = weights[c] * p
         share = share / share.sum(axis=1, keepdims=True) * n[:, None]
@@ -258,6 +267,8 @@ def interpolation_scores(docs: DataFrame, trained: Column, options: Interpolatio
             _state(order, bits), "ids array<bigint>, trained array<boolean>, lengths array<bigint>, counts array<binary>"), "state")
     steps.drop("blocks", "answers")
     names = [f"b{k}" for k in range(1, order + 1)]
+    # An estimate is at least 1 / n, so its level is no lower than that of v / n.
+    low = math.floor(math.log2((v + 1) / max(n, 1)) * options.fine) - 1
 
     def bins(batches):
         for batch in batches:
@@ -265,13 +276,10 @@ def interpolation_scores(docs: DataFrame, trained: Column, options: Interpolatio
                 lengths = np.array(row["lengths"])
                 use = np.repeat(np.array(row["trained"], bool), lengths)
                 p, context = _estimates([restore(c, np.uint64) for c in row["counts"]], lengths, n, documents, 1)
-                level = [np.where(x > 0, np.round(np.log2(np.maximum(x * (v + 1), 1e-300)) * options.fine), -1e6).astype(np.int64) for x in p]
-                # An estimate is at least 1 / n, so its level is no lower than that of v / n.
-                low = math.floor(math.log2((v + 1) / max(n, 1)) * options.fine) - 1
                 # One number per token: the class, then the levels, each with room for 64 doublings.
                 room, cell = 64 * options.fine, _class(context)[use]
-                for x in level:
-                    cell = cell * room + np.where(x < low, -1, np.clip(x, 0, room - 2))[use] + 1
+                for x in _levels(p, v, low, options.fine):
+                    cell = cell * room + x[use] + 1
                 cells, count = np.unique(cell, return_counts=True)
                 columns = []
                 for _ in range(order):
@@ -280,7 +288,7 @@ def interpolation_scores(docs: DataFrame, trained: Column, options: Interpolatio
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (cells, *columns, count)], ["c", *names, "n"])
 
     cells = state.select("trained", "lengths", "counts").mapInArrow(bins, "c bigint, " + ", ".join(f"{x} bigint" for x in names) + ", n bigint")
-    weights = learn_weights(cells.groupBy("c", *names).agg(F.sum("n").alias("n")).toPandas(), order, options.fine, options.rounds)
+    weights = learn_weights(cells.groupBy("c", *names).agg(F.sum("n").alias("n")).toPandas(), order, options.fine, options.rounds, low)
 
     def score(batches):
         for batch in batches:

@@ -51,3 +51,16 @@ def test_blobs_round_trip():
     for kind in (np.uint32, np.uint64):
         for x in ([], [0], [5, 1 << 31, 7]):
             assert lm.restore(lm.squeeze(np.array(x, kind)), kind).tolist() == x
+
+
+def test_estimates_below_the_uniform_one_keep_their_level():
+    import numpy as np
+
+    v, fine, low = 99, 4, -14
+    p = np.array([0.0, 0.001, 0.0025, 0.01, 0.5])
+    level = lm._levels([p], v, low, fine)[0]
+    assert level[0] == -1 and level[1:].min() >= 0
+    assert 2.0 ** ((level[1:] + low) / fine) / (v + 1) == pytest.approx(p[1:], rel=0.1)
+    # A tenth of the uniform estimate earns nearly no weight.
+    histogram = pd.DataFrame({"c": [3], "b1": [level[1]], "n": [1000.0]})
+    assert lm.learn_weights(histogram, 1, fine, 50, low)[3, 0] > 0.99
