@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from profilerec.llm import chat, decontaminate, jaccard, lm, packing, quality, repeats, search, toxicity, urls
+from profilerec.llm import chat, decontaminate, jaccard, lm, merkle, packing, quality, repeats, search, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,6 +199,64 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+MERKLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))) AS b FROM documents
+), c AS (
+  SELECT *, xor(4294967295, list_reduce([CAST(('0x' || substr(b, 2 * i + 1, 2)) AS BIGINT) FOR i IN range(0, length(b) // 2)],
+    lambda a, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * 3988292384), xor(a, x)), 4294967295)) AS crc FROM d
+), v AS (
+  SELECT doc_id, source, leaf, coalesce(changed, leaf) AS now FROM (
+    SELECT doc_id, source, sha256(h || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+      CASE WHEN crc % 5 = 0 THEN sha256(h || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
+    FROM (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS h FROM c)
+  )
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size FROM v
+), t(source, level, pos, size, digest) AS (
+  SELECT source, 0, pos, size, leaf FROM l
+  UNION ALL
+  SELECT source, level + 1, pos // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE size > 1 GROUP BY source, level, pos // 16, size
+), top AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM t WHERE size = 1
+), u(level, pos, size, digest) AS (
+  SELECT 0, pos, size, subroot FROM top
+  UNION ALL
+  SELECT level + 1, pos // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE size > 1 GROUP BY level, pos // 16, size
+), ts AS (
+  SELECT source, level, pos, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM t WHERE size > 1 WINDOW w AS (PARTITION BY source, level, pos // 16 ORDER BY pos)
+), us AS (
+  SELECT level, pos, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM u WHERE size > 1 WINDOW w AS (PARTITION BY level, pos // 16 ORDER BY pos)
+), f(doc_id, source, leaf, level, pos, size, digest, proof) AS (
+  SELECT doc_id, source, leaf, 0, pos, size, now, '' FROM l
+  UNION ALL
+  SELECT f.doc_id, f.source, f.leaf, f.level + 1, f.pos // 16, (f.size + 15) // 16, sha256(lft || f.digest || rgt), proof || lft || rgt
+  FROM f JOIN ts ON f.source IS NOT DISTINCT FROM ts.source AND f.level = ts.level AND f.pos = ts.pos WHERE f.size > 1
+), g(doc_id, leaf, subroot, level, pos, size, digest, proof) AS (
+  SELECT f.doc_id, f.leaf, top.subroot, 0, top.pos, top.size, f.digest, f.proof FROM f JOIN top ON f.source IS NOT DISTINCT FROM top.source WHERE f.size = 1
+  UNION ALL
+  SELECT g.doc_id, g.leaf, g.subroot, g.level + 1, g.pos // 16, (g.size + 15) // 16, sha256(lft || g.digest || rgt), proof || lft || rgt
+  FROM g JOIN us ON g.level = us.level AND g.pos = us.pos WHERE g.size > 1
+)
+SELECT g.doc_id, g.leaf, g.subroot, r.digest AS root, sha256(g.proof) AS proof_sha256, g.digest AS folded_root, g.digest = r.digest AS verified
+FROM g, (SELECT digest FROM u WHERE size = 1) r WHERE g.size = 1
+"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    columns = [lowered if c == "text" else F.col(c) for c in merkle.LEAF_COLUMNS]
+    tampered = F.when(remainder(5) == 0, merkle.leaf_digest(*columns))
+    found = merkle.Manifest(table(spark, sf_dir, "documents"), changed=tampered).verify()
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
