@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from profilerec.llm import chat, decontaminate, jaccard, lm, merkle, packing, quality, repeats, search, toxicity, urls
+from profilerec.llm import chat, decontaminate, jaccard, lm, merkle, packing, quality, repeats, resample, search, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,6 +199,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+RESAMPLE_SQL = r"""
+WITH w AS (
+  SELECT 0 AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), n AS (
+  SELECT side, row_number() OVER () AS r, doc_id, w FROM w
+), f AS (
+  SELECT side, r, unnest(w) AS g FROM n
+), h AS (
+  SELECT g, hex(encode(g)) AS b FROM (SELECT DISTINCT g FROM f)
+), c AS (
+  SELECT g, xor(4294967295, list_reduce([CAST(('0x' || substr(b, 2 * i + 1, 2)) AS BIGINT) FOR i IN range(0, length(b) // 2)],
+    lambda a, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda q, z: xor(q >> 1, (q & 1) * 3988292384), xor(a, x)), 4294967295)) % 10000 AS bucket FROM h
+), k AS (
+  SELECT bucket, CAST(count(*) FILTER (side = 0) AS DOUBLE) AS s, CAST(count(*) FILTER (side = 1) AS DOUBLE) AS t FROM f JOIN c USING (g) GROUP BY bucket
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000)) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM k
+), d AS (
+  SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN c USING (g) JOIN gain USING (bucket) WHERE side = 0 GROUP BY r
+), e AS (
+  SELECT n.doc_id, coalesce(n_features, 0) AS n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+    CAST('0x' || substr(sha256('2024:' || coalesce(CAST(n.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM n LEFT JOIN d USING (r) WHERE side = 0
+), s AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM e
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS pos,
+    floor(count(*) OVER (PARTITION BY n_features >= 20) * 10 / 100) AS draw FROM s
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN n_features >= 20 AND pos <= draw THEN CAST(pos AS BIGINT) END AS rank
+FROM o
+"""
+
+
+@query("op11_importance_resampling", RESAMPLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    drawn = resample.resample(docs, target, resample.ResampleOptions(grams=1), with_text=False)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 MERKLE_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))) AS b FROM documents
