@@ -97,9 +97,10 @@ class Features:
 
 def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     texts = batch.column(batch.schema.get_field_index(column))
-    for first, n, _data, _offsets in tokens.groups(texts):
-        piece = batch.slice(first, n)
-        yield piece, texts.slice(first, n).cast(pa.large_string())
+    for first, n, data, offsets in tokens.groups(texts):
+        # Built anew from zero: the kernels lower and split a slice of a column wrongly.
+        buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
+        yield batch.slice(first, n), pa.Array.from_buffers(pa.large_string(), n, buffers)
 
 
 def bucket_counts(texts: DataFrame, options: ResampleOptions) -> DataFrame:

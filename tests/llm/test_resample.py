@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,19 @@ def test_rows_like_the_target_are_drawn_more_often(spark, docs_of):
     bench = spark.createDataFrame([(i, " ".join(f"near{j}" for j in range(17))) for i in range(40)], "item_id int, text string")
     drawn = [r["doc_id"] for r in resample.resample(docs_of(rows), bench).where("rank is not null").collect()]
     assert len(drawn) == 40 and sum(i % 4 == 0 for i in drawn) >= 30
+
+
+def test_a_batch_of_several_groups_of_texts():
+    texts = [f"É{'x' * (i % 50)} Ünï {i} " * 40 for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    options, at = ResampleOptions(grams=2, buckets=1000), 0
+    pieces = list(resample._pieces(batch, "text"))
+    assert len(pieces) > 2
+    for piece, column in pieces:
+        found = resample.Features(column, options)
+        ends = found.n_features.cumsum()
+        for i in range(0, len(piece), 97):
+            want = [zlib.crc32(g.encode()) % 1000 for g in grams(texts[at + i], 2)[1]]
+            assert sorted(found.bucket[ends[i] - found.n_features[i] : ends[i]].tolist()) == sorted(want)
+        at += len(piece)
+    assert at == len(texts)
