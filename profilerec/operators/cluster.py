@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,12 +11,14 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from profilerec.operators import density
 from profilerec.operators.blocks import block_pairs, distances
-from profilerec.operators.ordering import global_row_index, head_per_group
+from profilerec.operators.ordering import free_names, global_row_index, head_per_group
 from profilerec.operators.rfm import kmeans
-from profilerec.session import cut_lineage
+from profilerec.session import StepTables, cut_lineage
 
 NOISE = -1
 
@@ -276,75 +279,63 @@ def knn(points: DataFrame, k: int, group: str | None = None, cell_rows: int = 40
     return head_per_group(found, ["key"], ["distance", "other"], k).select("key", "other", "distance")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, comp): smallest key reachable over (a, b) edges, by neighbour minimum and pointer jumping."""
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut_lineage(nodes.select("key", F.col("key").alias("comp")))
-    while True:
-        lowest = both.join(labels.select(F.col("key").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("low"))
-        moved = labels.join(lowest, labels["key"] == lowest["a"], "left").select(
-            "key", F.least("comp", F.coalesce("low", "comp")).alias("comp"), F.col("comp").alias("old")
-        )
-        jump = moved.select(F.col("key").alias("comp"), F.col("comp").alias("root"))
-        after = cut_lineage(moved.join(jump, "comp").select("key", F.least("comp", "root").alias("comp"), "old"))
-        labels = after.select("key", "comp")
-        if after.where("comp <> old").limit(1).count() == 0:
-            return labels
+class DensityHierarchy:
+    """Spanning trees of the mutual reachability of ``df``, from which clusters of any size bound are read.
+
+    Equal vectors are merged and counted first. With ``group``, every group has a tree of its own. One search
+    for the neighbours of the largest ``min_samples`` serves all smaller ones; a tree is built once for each.
+    """
+
+    def __init__(self, df: DataFrame, min_samples: int | Sequence[int], key: str = "product_id", vector: str = "reduced",
+                 group: str | None = None, cell_rows: int = density.CELL_ROWS, local_edges: int = density.LOCAL_EDGES):
+        samples = [min_samples] if isinstance(min_samples, int) else list(min_samples)
+        self.cell_rows, self.local_edges, self.columns = cell_rows, local_edges, df.columns
+        self.steps = StepTables(df.sparkSession, "density")
+        vec = F.transform(F.col(vector).cast("array<double>"), lambda x: F.round(x, 12))
+        grp = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("0")
+        self.rows = df.select(F.struct("*").alias("row"), vec.alias("vec"), grp.alias("grp"), F.col(key).cast("string").alias("key"))
+        merged = self.rows.groupBy("grp", "vec").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
+        # Keys need not be unique: a vector of its own has a name of its own.
+        named = merged.withColumn("key", F.concat_ws("/", "key", F.md5(F.concat_ws("/", F.to_json("vec"), "grp"))))
+        self.reps = self.steps.write(named, "reps")
+        self.near = self.steps.write(knn(self.reps, max(samples), "grp"), "near")
+        self._trees: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+    def tree(self, min_samples: int) -> tuple[DataFrame, DataFrame]:
+        """(rows with core distance, edges of the spanning trees)."""
+        if min_samples not in self._trees:
+            core = _core_distances(self.near, self.reps, min_samples)
+            points = self.steps.write(self.reps.join(core, "key"), f"points-{min_samples}")
+            self._trees[min_samples] = points, density.spanning_tree(points, self.cell_rows)
+        return self._trees[min_samples]
+
+    def clusters(self, min_cluster_size: int, min_samples: int, cluster: str = "major_cluster") -> DataFrame:
+        """All rows with ``cluster``: numbers in the order of groups and smallest keys, -1 for noise."""
+        points, edges = self.tree(min_samples)
+        found = density.clusters(points, edges, min_cluster_size, self.local_edges).where("no >= 0")
+        found = cut_lineage(found.join(self.reps.select("grp", "key", "vec"), ["grp", "key"]))
+        first = found.groupBy("grp", "no").agg(F.min("key").alias("first"))
+        numbers = global_row_index(first, ["grp", "first"], "number").select("grp", "no", F.col("number").cast("int"))
+        by_vector = found.join(numbers, ["grp", "no"]).select("grp", "vec", "number")
+        kept = [F.col("row")[c].alias(c) for c in self.columns if c != cluster]
+        return self.rows.join(by_vector, ["grp", "vec"], "left").select(*kept, F.coalesce("number", F.lit(NOISE)).alias(cluster))
 
 
 def density_cluster(df: DataFrame, min_cluster_size: int = 50, min_samples: int = 50, key: str = "product_id",
-                    vector: str = "reduced", group: str | None = None, levels: int = 8, cluster: str = "major_cluster",
-                    cell_rows: int = 4096) -> DataFrame:
-    """Adds ``cluster``: density clusters of any shape, -1 for noise.
-
-    Equal vectors are merged and counted first. The mutual reachability graph over the exact
-    nearest neighbours is cut at ``levels`` quantiles of its edge weights, each halving the share of
-    longer edges, since the long edges are what joins clusters; components of at least
-    ``min_cluster_size`` rows form a tree, and the clusters are the most persistent nodes, none
-    inside another. This approximates the full hierarchy by a fixed number of cuts, and pairs that
-    are not near neighbours never link. With ``group``, rows of different groups never link.
+                    vector: str = "reduced", group: str | None = None, cluster: str = "major_cluster", **options) -> DataFrame:
+    """Adds ``cluster``: the most stable density clusters of the full hierarchy, -1 for noise.
+
+    With ``group``, every group is clustered on its own, and numbers run over all of them. A group whose
+    rows never part into two clusters is noise as a whole.
     """
-    grp = F.col(group).cast("string") if group else F.lit("0")
-    rows = df.withColumn("_vec", F.transform(F.col(vector).cast("array<double>"), lambda x: F.round(x, 12))).withColumn("_grp", grp)
-    reps = cut_lineage(rows.groupBy("_grp", "_vec").agg(
-        F.min(F.col(key).cast("string")).alias("key"), F.count("*").alias("copies")
-    ).select("key", F.col("_vec").alias("vec"), F.col("_grp").alias("grp"), "copies"))
-    near = cut_lineage(knn(reps, min_samples, "grp", cell_rows))
-    core = _core_distances(near, reps, min_samples)
-    pairs = near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), "distance").distinct()
-    weight = F.greatest(F.col("core_a"), F.col("core_b"), F.col("distance"))
-    edges = cut_lineage(
-        pairs.join(core.select(F.col("key").alias("a"), F.col("core").alias("core_a")), "a")
-        .join(core.select(F.col("key").alias("b"), F.col("core").alias("core_b")), "b")
-        .select("a", "b", weight.alias("w"))
-    )
-    shares = [1.0 - 0.5 ** (i + 1) for i in range(levels - 1)] + [1.0]
-    cuts = sorted(set(edges.approxQuantile("w", shares, 0.001)))
-    cut_labels, tables = [], []
-    labels, low = reps.select("key", F.col("key").alias("comp")), None
-    for high in cuts:
-        fresh = edges.where(F.col("w") <= high) if low is None else edges.where((F.col("w") > low) & (F.col("w") <= high))
-        ends = fresh.join(labels.select(F.col("key").alias("a"), F.col("comp").alias("ca")), "a").join(
-            labels.select(F.col("key").alias("b"), F.col("comp").alias("cb")), "b")
-        merged = connected_components(
-            labels.select(F.col("comp").alias("key")).distinct(),
-            ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        labels = cut_lineage(labels.join(merged.select(F.col("key").alias("comp"), F.col("comp").alias("top")), "comp")
-                             .select("key", F.col("top").alias("comp")))
-        cut_labels.append(labels)
-        low = high
-    chosen = _persistent(reps, cut_labels, cuts, min_cluster_size)
-    ids = global_row_index(chosen.select("grp", "level", "comp").distinct(), ["grp", "level", "comp"], cluster)
-    named = chosen.join(ids, ["grp", "level", "comp"]).select("key", F.col(cluster).cast("int").alias(cluster))
-    by_vector = reps.join(named, "key", "left").select(
-        F.col("grp").alias("_grp"), F.col("vec").alias("_vec"), F.coalesce(cluster, F.lit(NOISE)).alias(cluster))
-    return rows.drop(cluster).join(by_vector, ["_grp", "_vec"]).drop("_grp", "_vec")
+    return DensityHierarchy(df, min_samples, key, vector, group, **options).clusters(min_cluster_size, min_samples, cluster)
 
 
 def _core_distances(near: DataFrame, reps: DataFrame, min_samples: int) -> DataFrame:
-    """(key, core): distance at which a row has ``min_samples`` neighbours, copies counted."""
-    from pyspark.sql import Window as W
+    """(key, core): distance at which a row has ``min_samples`` neighbours, copies counted.
 
+    A row with fewer neighbours takes the farthest of them, one without any takes 0.
+    """
     reached = near.join(reps.select(F.col("key").alias("other"), F.col("copies").alias("other_copies")), "other").join(
         reps.select("key", "copies"), "key")
     so_far = W.partitionBy("key").orderBy("distance", "other").rowsBetween(W.unboundedPreceding, 0)
@@ -353,66 +344,16 @@ def _core_distances(near: DataFrame, reps: DataFrame, min_samples: int) -> DataF
         F.min(F.when(F.col("have") >= min_samples, F.col("distance"))).alias("at"), F.max("distance").alias("last"),
         F.max("copies").alias("copies"))
     core = F.when(F.col("copies") - 1 >= min_samples, 0.0).otherwise(F.coalesce("at", "last"))
-    return enough.select("key", core.alias("core"))
-
-
-def _persistent(reps: DataFrame, cut_labels: list[DataFrame], cuts: list[float], min_size: int) -> DataFrame:
-    """(key, grp, level, comp) of the rows in the chosen components.
-
-    Going from fine to coarse cuts, a component adds its size times the density range of the cut
-    to its stability; where components merge, the sum of the parts competes with the merged one.
-    """
-    density = [1.0 / max(c, 1e-9) for c in cuts] + [0.0]
-    nodes = []
-    for level, labels in enumerate(cut_labels):
-        sizes = labels.join(reps.select("key", "copies", "grp"), "key").groupBy("comp").agg(
-            F.sum("copies").alias("size"), F.min("grp").alias("grp")).where(F.col("size") >= min_size)
-        gain = F.col("size") * (density[level] - density[level + 1])
-        if nodes:
-            parts = nodes[-1].groupBy(F.col("parent").alias("comp")).agg(
-                F.count("*").alias("kids"), F.sum("best").alias("sum_best"),
-                F.max("stability").alias("kid_stability"), F.max("inner").alias("kid_inner"))
-            sizes = sizes.join(parts, "comp", "left").fillna(0, ["kids", "sum_best", "kid_stability", "kid_inner"])
-        else:
-            sizes = sizes.withColumns({"kids": F.lit(0), "sum_best": F.lit(0.0), "kid_stability": F.lit(0.0), "kid_inner": F.lit(0.0)})
-        alone = F.col("kids") == 1
-        table = sizes.select(
-            "comp", "grp", "kids",
-            F.when(alone, F.col("kid_stability") + gain).otherwise(gain).alias("stability"),
-            F.when(alone, F.col("kid_inner")).otherwise(F.col("sum_best")).alias("inner"),
-        ).withColumn("best", F.greatest("stability", "inner"))
-        if level + 1 < len(cut_labels):
-            up = cut_labels[level + 1].select(F.col("key").alias("comp"), F.col("comp").alias("parent"))
-            table = table.join(up, "comp")
-        else:
-            table = table.withColumn("parent", F.lit(None).cast("string"))
-        nodes.append(cut_lineage(table))
-    roots = nodes[-1].groupBy("grp").agg(F.count("*").alias("roots"))
-    above = None
-    picked = None
-    for level in range(len(nodes) - 1, -1, -1):
-        if above is None:
-            here = nodes[level].join(roots, "grp").withColumns({"is_top": F.lit(True), "taken": F.lit(False)})
-            allowed = F.col("roots") > 1
-        else:
-            here = nodes[level].join(above.select(
-                F.col("comp").alias("parent"), (F.col("kids") >= 2).alias("is_top"), F.col("now_taken").alias("taken")), "parent")
-            allowed = F.lit(True)
-        pick = ~F.col("taken") & F.col("is_top") & allowed & (F.col("stability") >= F.col("inner"))
-        above = cut_lineage(here.withColumn("pick", pick).withColumn("now_taken", F.col("taken") | F.col("pick")))
-        members = cut_labels[level].join(above.where("pick").select("comp", "grp"), "comp").select(
-            "key", "grp", F.lit(level).alias("level"), "comp")
-        picked = members if picked is None else picked.unionByName(members)
-    return cut_lineage(picked)
+    return reps.select("key").join(enough.select("key", core.alias("core")), "key", "left").fillna(0.0, ["core"])
 
 
 def grid_search(df: DataFrame, sizes=(50, 100, 150, 200), samples=(50, 100), key: str = "product_id",
-                vector: str = "reduced", levels: int = 8, exact: bool = True) -> DataFrame:
-    """One row of counts and scores per parameter pair."""
-    trials = []
+                vector: str = "reduced", exact: bool = True) -> DataFrame:
+    """One row of counts and scores per parameter pair, from one neighbour search and one tree per ``samples``."""
+    hierarchy, trials = DensityHierarchy(df.select(key, vector), samples, key, vector), []
     for size in sizes:
         for sample in samples:
-            labelled = cut_lineage(density_cluster(df.select(key, vector), size, sample, key, vector, levels=levels))
+            labelled = cut_lineage(hierarchy.clusters(size, sample))
             scores = score_clustering(labelled, key, "major_cluster", vector, exact)
             trials.append((size, sample, *[float(v) for v in scores.values()]))
     fields = "min_cluster_size int, min_samples int, n_clusters double, n_noise double, silhouette double, " \
@@ -421,17 +362,18 @@ def grid_search(df: DataFrame, sizes=(50, 100, 150, 200), samples=(50, 100), key
 
 
 def subcluster(df: DataFrame, min_cluster_size: int = 10, min_samples: int = 5, key: str = "product_id",
-               vector: str = "reduced", major: str = "major_cluster", levels: int = 6) -> DataFrame:
+               vector: str = "reduced", major: str = "major_cluster", **options) -> DataFrame:
     """Adds ``sub_cluster``: density clusters inside each major cluster, numbered over all of them.
 
     A major cluster below ``min_cluster_size`` rows, or without any density cluster, is one
     sub-cluster; rows left over in the others share one more. Noise stays -1.
     """
-    inside = cut_lineage(df.where(F.col(major) >= 0))
-    found = cut_lineage(density_cluster(
-        inside, min_cluster_size, min_samples, key, vector, group=major, levels=levels, cluster="_local"))
-    numbers = global_row_index(found.select(major, "_local").distinct().withColumn(
-        "_last", F.col("_local") == NOISE), [major, "_last", "_local"], "_no").drop("_last")
-    named = found.join(numbers, [major, "_local"]).withColumn("sub_cluster", F.col("_no").cast("int")).drop("_local", "_no")
+    local, last, number = free_names(df.columns, "local", "last", "number")
+    inside = df.where(F.col(major) >= 0)
+    found = cut_lineage(density_cluster(inside, min_cluster_size, min_samples, key, vector, major, local, **options))
+    kinds = found.select(major, local).distinct().withColumn(last, F.col(local) == NOISE)
+    numbers = global_row_index(kinds, [major, last, local], number).select(major, local, F.col(number).cast("int").alias("sub_cluster"))
+    columns = [c for c in df.columns if c != "sub_cluster"]
+    named = found.select(*columns, local).join(numbers, [major, local])
     noise = df.where(F.col(major) < 0).withColumn("sub_cluster", F.lit(NOISE))
-    return named.select(*df.columns, "sub_cluster").unionByName(noise.select(*df.columns, "sub_cluster"))
+    return named.select(*columns, "sub_cluster").unionByName(noise.select(*columns, "sub_cluster"))

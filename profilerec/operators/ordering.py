@@ -13,27 +13,34 @@ from profilerec.operators.stats import kth_value
 from profilerec.session import cut_lineage
 
 def global_row_index(df: DataFrame, order: Sequence, name: str = "row_index") -> DataFrame:
-    """0-based position in a total order.
+    """0-based position in a total order, as ``name``; all other columns stay as they are.
 
     The table is range partitioned and written once, because range bounds are sampled again on every
     run; then each partition is numbered on its own and shifted by the count of those before it.
     """
+    part, local, offset, n = free_names(df.columns, "part", "local", "offset", "n")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    placed = cut_lineage(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()))
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("_part").agg(F.count("*").alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        placed.groupBy(part).agg(F.count("*").alias(n))
+        .select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
     )
-    local = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return (
-        placed.withColumn("_local", local)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint"))
-        .drop("_part", "_local", "_offset")
+    number = F.row_number().over(W.partitionBy(part).orderBy(*order)) - 1
+    numbered = placed.withColumn(local, number).join(F.broadcast(offsets), part)
+    return numbered.select(
+        *[F.col(f"`{c}`") for c in df.columns if c != name], (F.col(offset) + F.col(local)).cast("bigint").alias(name)
     )
 
 
+def free_names(taken: Sequence[str], *wanted: str) -> list[str]:
+    """Names for working columns that none of ``taken`` can clash with, whatever their case."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in taken):
+        prefix += "_"
+    return [prefix + w for w in wanted]
+
+
 def index_within(
     df: DataFrame, key: str, ts: str, tie: Sequence[str], grain: str = "hour"
 ) -> DataFrame:

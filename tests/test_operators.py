@@ -247,7 +247,7 @@ def test_density_clusters_find_blobs_and_copies(spark):
     rows = [(f"{b}-{i}", v.tolist()) for b, m in enumerate(blobs) for i, v in enumerate(m)]
     rows += [(f"3-{i}", [20.0, 20.0]) for i in range(30)] + [("far", [50.0, -50.0])]
     df = spark.createDataFrame(rows, "product_id string, reduced array<double>")
-    got = cluster.density_cluster(df, 10, 4, levels=6).collect()
+    got = cluster.density_cluster(df, 10, 4).collect()
     assert len(got) == len(rows)
     by_blob = {}
     for r in got:
