@@ -37,11 +37,10 @@ def _(spark, sf):
 @register("customer_profiles")
 def _(spark, sf):
     people, _rfm = profiles.customer_profiles(
-        A.customers(spark, sf), A.interactions_ord(spark, sf), A.products(spark, sf), n_init=1)
+        A.customers(spark, sf), A.interactions_ord(spark, sf), A.products(spark, sf))
     return people
 
 
 @register("product_profiles")
 def _(spark, sf):
-    return profiles.product_profiles(
-        A.products(spark, sf).drop("major_cluster", "sub_cluster"), method="kmeans", k=8, n_init=1)
+    return profiles.product_profiles(A.products(spark, sf).drop("major_cluster", "sub_cluster"))

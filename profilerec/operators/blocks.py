@@ -78,7 +78,16 @@ def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 def distances(a: pd.Series, b: pd.Series) -> np.ndarray:
     """Euclidean distances of two series of equally long vectors."""
-    x, y = np.vstack(a.to_numpy()).astype(float), np.vstack(b.to_numpy()).astype(float)
+    return euclidean(np.vstack(a.to_numpy()).astype(float), np.vstack(b.to_numpy()).astype(float))
+
+
+def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of two matrices; for few columns by differences, which lose no digits."""
+    if x.shape[1] <= 32:
+        squared = np.zeros((len(x), len(y)))
+        for i in range(x.shape[1]):
+            squared += np.subtract.outer(x[:, i], y[:, i]) ** 2
+        return np.sqrt(squared)
     squared = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T)
     return np.sqrt(np.maximum(squared, 0.0))
 

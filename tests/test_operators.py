@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from profilerec.operators import augment, blocks, cf, clean, cluster, evaluate, history, journey, ordering, persona, rank, stats, vectors
+from profilerec.operators import augment, blocks, cf, clean, cluster, evaluate, history, journey, lambdamart, ordering, persona, rank, stats, vectors
 from profilerec.operators.skew import join_per_key
 from profilerec.plans import recommend as plan
 
@@ -212,17 +212,66 @@ def test_metrics(spark):
     assert evaluate.list_similarity(recs, vecs.where("product_id = 'a'")).first()["ils"] == 0.0
 
 
-def test_lambdamart_improves_order(spark):
-    rng = random.Random(6)
-    rows = []
-    for u in range(12):
-        for p in range(20):
-            x = rng.random()
-            rows.append((f"u{u}", f"p{p:02d}", x, int(x > 0.8)))
-    df = spark.createDataFrame(rows, "user_id string, product_id string, x double, is_relevant int")
-    got = rank.rank_lambdamart(df, features=["x"], rounds=2, learning_rate=0.5).collect()
-    good = np.mean([r["reranked_score"] for r in got if r["is_relevant"]])
-    assert good > np.mean([r["reranked_score"] for r in got if not r["is_relevant"]])
+def ndcg(rows, score, k=10):
+    """Mean NDCG at ``k`` over users, equal scores in product order."""
+    users, out = {}, []
+    for r in rows:
+        users.setdefault(r["user_id"], []).append(r)
+    for own in users.values():
+        ranked = sorted(own, key=lambda r: (-r[score], r["product_id"]))
+        gain = sum(r["is_relevant"] / np.log2(i + 2) for i, r in enumerate(ranked[:k]))
+        best = sum(1 / np.log2(i + 2) for i in range(min(k, sum(r["is_relevant"] for r in own))))
+        out.append(gain / best if best else 0.0)
+    return float(np.mean(out))
+
+
+def ranking_rows(seed, users):
+    """Relevance depends on a product of two features and a threshold; a third one is noise or missing."""
+    rng, rows = random.Random(seed), []
+    for u in range(users):
+        for p in range(25):
+            x, y, z = rng.random(), rng.random(), rng.random()
+            rows.append((f"u{seed}-{u}", f"p{p:02d}", x, y, z if z > 0.2 else None, x, int(x * y > 0.45)))
+    return rows
+
+
+def test_lambdamart_is_fitted_once_and_ranks_other_rows(spark, tmp_path):
+    schema = "user_id string, product_id string, x double, y double, z double, first double, is_relevant int"
+    train, other = (spark.createDataFrame(ranking_rows(s, n), schema) for s, n in ((1, 80), (2, 30)))
+    model = lambdamart.fit(train, ["x", "y", "z"])
+    nodes = model.nodes.toPandas()
+    assert nodes["tree"].nunique() == 200 and nodes.groupby("tree")["feature"].apply(lambda f: (f < 0).sum()).max() <= 31
+    got = model.predict(other).collect()
+    assert len(got) == 30 * 25 and ndcg(got, "reranked_score") > max(0.97, ndcg(got, "first"))
+    model.save(str(tmp_path / "model"))
+    again = lambdamart.LambdaModel.load(spark, str(tmp_path / "model")).predict(other.repartition(5))
+    key = lambda rows: sorted((r["user_id"], r["product_id"], r["reranked_score"]) for r in rows)
+    assert key(again.collect()) == key(got)
+    ranked = rank.rerank(other, "auto", train=train, min_positives=10, features=["x", "y", "z"])
+    assert key(ranked.collect()) == key(got)
+
+
+def test_lambdamart_without_a_choice(spark):
+    schema = "user_id string, product_id string, x double, is_relevant int"
+    same = spark.createDataFrame([("u", f"p{i}", float(i), 1) for i in range(30)], schema)
+    assert {r["reranked_score"] for r in rank.rank_lambdamart(same, ["x"], rounds=3).collect()} == {0.0}
+    assert rank.rank_lambdamart(same.limit(0), ["x"], rounds=3).collect() == []
+    users = spark.createDataFrame([(f"u{i}", f"p{j}", 0.0, 0) for i in range(20) for j in range(5)], schema)
+    assert lambdamart.training_users(users, 23).count() == 4 and lambdamart.training_users(users, 2).count() == 1
+
+
+def test_gradients_are_those_of_the_pairs():
+    rng = np.random.default_rng(4)
+    score, label = rng.normal(size=9), np.array([1, 0, 0, 1, 0, 1, 0, 0, 0])
+    place = np.empty(9)
+    place[np.argsort(-score)] = 1 / np.log2(np.arange(9) + 2)
+    best, want = sum(1 / np.log2(i + 2) for i in range(3)), np.zeros(9)
+    for i in np.flatnonzero(label == 1):
+        for j in np.flatnonzero(label == 0):
+            pull = abs(place[i] - place[j]) / best / (1 + np.exp(score[i] - score[j]))
+            want[i] += pull
+            want[j] -= pull
+    assert np.allclose(lambdamart.pair_gradients(score, label)[0], want)
 
 
 def test_ranker_gate(spark):
