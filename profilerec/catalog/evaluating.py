@@ -9,7 +9,6 @@ from profilerec.catalog.registry import EV, PROD, register
 from profilerec.catalog.textual import tagged_products
 from profilerec.operators import cf, evaluate, history, ordering
 from profilerec.plans import evaluation as plan
-from profilerec.plans.recommend import RecommendOptions
 from profilerec.session import cut_lineage
 from profilerec.sources import adapters as A
 
@@ -144,8 +143,6 @@ def _(spark, sf):
 
 @register("evaluate_recommenders")
 def _(spark, sf):
-    options = RecommendOptions(
-        cf_options={"rank": 8, "iterations": 5}, candidate_topk=20, ranker_options={"rounds": 4, "learning_rate": 0.2})
     return plan.evaluate_recommenders(
         A.interactions_ev(spark, sf), ev_profiles(spark, sf), tagged_products(spark, sf), ev_stages(spark, sf),
-        A.EVENT_ORDER, A.product_vectors(spark, sf), options=options)
+        A.EVENT_ORDER, A.product_vectors(spark, sf))

@@ -134,13 +134,13 @@ def _(spark, sf):
 
 @register("behavior_clusters")
 def _(spark, sf):
-    users, _curve = rfm.behavior_clusters(order_rfm(spark, sf), n_init=2)
+    users, _curve = rfm.behavior_clusters(order_rfm(spark, sf))
     return users
 
 
 @register("choose_k")
 def _(spark, sf):
-    _users, curve = rfm.behavior_clusters(order_rfm(spark, sf), n_init=1)
+    _users, curve = rfm.behavior_clusters(order_rfm(spark, sf))
     return curve
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from profilerec.catalog.profiles import event_rfm_profiles
@@ -157,20 +158,20 @@ def _(spark, sf):
 @register("biased_mf")
 def _(spark, sf):
     pairs = cf.ratings(A.interactions_ord(spark, sf))
-    users, items, dims, mean = cf.biased_mf(pairs, rank=8, iterations=5)
+    users, items, dims, mean = cf.biased_mf(pairs)
     users, items = cf.with_cold(users, items, A.customers(spark, sf), A.products(spark, sf), dims, mean)
     return cf.recommend_factors(users, items, dims, 10, cf.seen_pairs(A.interactions_ord(spark, sf)))
 
 
 @register("nmf")
 def _(spark, sf):
-    users, items, dims, _losses = cf.nmf(ev_pairs(spark, sf), rank=8, iterations=5)
+    users, items, dims, _losses = cf.nmf(ev_pairs(spark, sf))
     return cf.recommend_factors(users, items, dims, 20)
 
 
 @register("recommend_mf")
 def _(spark, sf):
-    users, items, dims, _losses = cf.nmf(ev_pairs(spark, sf), rank=8, iterations=5)
+    users, items, dims, _losses = cf.nmf(ev_pairs(spark, sf))
     return cf.recommend_factors(users, items, dims, 10, ev_seen(spark, sf))
 
 
@@ -198,12 +199,12 @@ def _(spark, sf):
 
 CAND = f"""{_SCORES}, rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cf_score DESC, product_id) AS rc,
   row_number() OVER (PARTITION BY user_id ORDER BY llm_score DESC, product_id) AS rs FROM open),
-cd AS (SELECT user_id, product_id, cf_score, llm_score FROM rk WHERE rc <= 15 OR rs <= 15)"""
+cd AS (SELECT user_id, product_id, cf_score, llm_score FROM rk WHERE rc <= 120 OR rs <= 120)"""
 
 
 def ev_candidates(spark, sf, texts=None):
     users, items = hybrid_vectors(spark, sf, texts)
-    return hybrid.hybrid_candidates(users, items, 2, 2048, 15, ev_seen(spark, sf))
+    return hybrid.hybrid_candidates(users, items, 2, 2048, 120, ev_seen(spark, sf))
 
 
 @register("hybrid_candidates", f"""
@@ -215,14 +216,14 @@ def _(spark, sf):
 @register("candidates_from_scores", f"""
 WITH {SEMANTIC}, {EV_RT}, {IBCF}, r1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, product_id) AS rn FROM ib),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, product_id) AS rn FROM sem),
-pool AS (SELECT user_id, product_id FROM r1 WHERE rn <= 15 UNION SELECT user_id, product_id FROM r2 WHERE rn <= 15)
+pool AS (SELECT user_id, product_id FROM r1 WHERE rn <= 120 UNION SELECT user_id, product_id FROM r2 WHERE rn <= 120)
 SELECT user_id, product_id, round(coalesce(ib.score, 0.0::DOUBLE), 6) AS cf_score, round(coalesce(sem.score, 0.0::DOUBLE), 6)
   AS llm_score FROM pool LEFT JOIN ib USING (user_id, product_id) LEFT JOIN sem USING (user_id, product_id)""")
 def _(spark, sf):
     cfs = cf.ibcf_scores(ev_pairs(spark, sf))
     products = active_products(spark, sf)
     sem = textmine.cosine_topk(user_texts(spark, sf), textmine.product_text(products), products.count())
-    return rounded(hybrid.candidates_from_scores(cfs, sem, 15), "cf_score", "llm_score")
+    return rounded(hybrid.candidates_from_scores(cfs, sem, 120), "cf_score", "llm_score")
 
 
 # Feature table of the candidates as SQL.
@@ -340,20 +341,39 @@ def _(spark, sf):
 @register("rank_gbt_pointwise")
 def _(spark, sf):
     rows = cut_lineage(ev_features(spark, sf))
-    ranked = rank.rank_gbt_pointwise(rows, rows, max_depth=4, iterations=5)
+    ranked = rank.rank_gbt_pointwise(rows, rows)
     return hybrid.final_top_n(ranked, 10).select("user_id", "product_id", "reranked_score", "rank")
 
 
 @register("rank_lambdamart")
 def _(spark, sf):
-    ranked = rank.rank_lambdamart(cut_lineage(ev_features(spark, sf)), rounds=5, learning_rate=0.2)
+    ranked = rank.rank_lambdamart(cut_lineage(ev_features(spark, sf)))
     return hybrid.final_top_n(ranked, 10).select("user_id", "product_id", "reranked_score", "rank")
 
 
+@register("lambdamart_holdout", f"""
+WITH {FEATURES} SELECT user_id, count(*) AS n_candidates, CAST(sum(is_relevant) AS BIGINT) AS n_relevant, true AS same_rows,
+  true AS better_than_first FROM ft WHERE CAST(user_id AS BIGINT) % 2 = 1 GROUP BY 1""")
+def _(spark, sf):
+    """A model of the users with even ids ranks those with odd ids, whose NDCG it has to raise above the hybrid score's."""
+    rows = cut_lineage(ev_features(spark, sf))
+    odd = F.col("user_id").cast("long") % 2 == 1
+    ranked = cut_lineage(rank.rank_lambdamart(rows.where(odd), train=rows.where(~odd)))
+
+    def ndcg(score):
+        place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc(score), "product_id"))
+        gain = F.when(F.col("is_relevant") == 1, 1 / F.log2(F.col("place") + 1)).otherwise(0.0)
+        per_user = ranked.withColumn("place", place).groupBy("user_id").agg(F.sum(gain).alias("gain"), F.sum("is_relevant").alias("n"))
+        ideal = F.aggregate(F.sequence(F.lit(1), F.greatest("n", F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+        return per_user.where("n > 0").agg(F.coalesce(F.avg(F.col("gain") / ideal), F.lit(0.0))).scalar()
+
+    better = ndcg("reranked_score") >= ndcg("hybrid_score")
+    return ranked.groupBy("user_id").agg(
+        F.count("*").alias("n_candidates"), F.sum("is_relevant").cast("long").alias("n_relevant"),
+        (F.count("reranked_score") == F.count("*")).alias("same_rows")).withColumn("better_than_first", better)
+
+
 @register("recommend")
 def _(spark, sf):
-    options = plan.RecommendOptions(
-        cf_options={"rank": 8, "iterations": 5}, candidate_topk=20, ranker="lambdamart",
-        ranker_options={"rounds": 4, "learning_rate": 0.2})
     return plan.recommend(
-        A.interactions_ev(spark, sf), ev_profiles(spark, sf), tagged_products(spark, sf), ev_stages(spark, sf), options)
+        A.interactions_ev(spark, sf), ev_profiles(spark, sf), tagged_products(spark, sf), ev_stages(spark, sf))

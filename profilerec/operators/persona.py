@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from profilerec.functions.rules import purchase_motive
 from profilerec.functions.text import SEPARATOR, normalize_keywords, top_terms
+from profilerec.session import cut_lineage
+from profilerec.sources.enrichment import EnrichmentStore
 
 # Sentence formats and the texts used when nothing is known.
 PERSONA_FORMAT = (
@@ -21,6 +23,7 @@ DEFAULT_PERSONA = "Insufficient interaction data."
 DEFAULT_TAGS = "misc"
 
 PERSONA_COLUMNS = ("persona", "interest_keywords", "purchase_motive")
+CACHE_SCHEMA = "cache_key string, persona string, interest_keywords string, purchase_motive string"
 _ITEMS = "array<struct<rank:int,name:string,category:string>>"
 
 
@@ -100,59 +103,75 @@ def enrich_batched(
     records: DataFrame, key: str, fields: Sequence[str], values: Sequence[str],
     fn: Callable[[list[dict]], dict[str, dict]], batch_size: int = 20,
 ) -> DataFrame:
-    """Calls ``fn`` on lists of up to ``batch_size`` records and returns (key, *values).
+    """Calls ``fn`` on lists of up to ``batch_size`` records and returns (key, *values, error).
 
-    ``fn`` maps a list of records to {key: {value column: text}}. When it fails on a list, or
-    leaves a record out, the values of that record are null and the caller's template applies.
+    ``fn`` maps a list of records to {key: {value column: text}}. Where it fails on a list or leaves
+    records out, these are asked again one by one. A record that fails then has null values and the
+    reason in ``error``; the caller's template applies.
     """
-    out_fields = ", ".join([f"{key} string", *[f"{v} string" for v in values]])
+    out_fields = ", ".join([f"{key} string", *[f"{v} string" for v in values], "error string"])
+
+    def ask(rows: list[dict]) -> tuple[dict, str | None]:
+        try:
+            return fn(rows) or {}, None
+        except Exception as reason:  # a caller's model may raise anything; the reason is reported per record
+            return {}, f"{type(reason).__name__}: {reason}"
 
     def run(batches):
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 rows = pdf.iloc[start:start + batch_size].to_dict("records")
-                try:
-                    answers = fn(rows)
-                except Exception:
-                    answers = {}
+                answers, reason = ask(rows)
+                errors = {}
+                for r in rows:
+                    if r[key] not in answers and len(rows) > 1:
+                        alone, reason = ask([r])
+                        answers.update({k: v for k, v in alone.items() if k == r[key]})
+                    if r[key] not in answers:
+                        errors[r[key]] = reason or "no answer"
                 yield pd.DataFrame(
-                    [
-                        {key: r[key], **{v: answers.get(r[key], {}).get(v) for v in values}}
-                        for r in rows
-                    ],
-                    columns=[key, *values],
+                    [{key: r[key], **{v: (answers.get(r[key]) or {}).get(v) for v in values}, "error": errors.get(r[key])} for r in rows],
+                    columns=[key, *values, "error"],
                 )
 
     return records.select(key, *fields).mapInPandas(run, out_fields)
 
 
 def personas_with_cache(
-    records: DataFrame, cache: DataFrame, fn: Callable | None = None, batch_size: int = 20,
+    records: DataFrame, cache: DataFrame | EnrichmentStore, fn: Callable | None = None, batch_size: int = 20,
     kind: str = "customer_persona",
 ) -> tuple[DataFrame, DataFrame]:
-    """Personas for all records, and the new cache rows to append.
+    """Personas for all records, and (cache_key, values, error) of those that were not in the cache.
 
     A request is answered by the cache, else by ``fn``, else by the template. Equal requests are
-    computed once.
+    computed once, and the answers of ``fn`` are written before anything reads them, so it runs once
+    per request. A :class:`EnrichmentStore` gets them as a batch; failed requests are not stored and
+    will be asked again.
     """
     payload = ["age_group", "gender", "behavior_cluster_label", "items"]
+    store = cache if isinstance(cache, EnrichmentStore) else None
+    known = store.rows() if store else cache
     keyed = records.withColumn("cache_key", cache_key(kind, payload))
     misses = keyed.select("cache_key", *payload).join(
-        cache.select("cache_key"), "cache_key", "left_anti"
+        known.select("cache_key"), "cache_key", "left_anti"
     ).dropDuplicates(["cache_key"])
-    fresh = persona_text(misses)
+    fresh = persona_text(misses).select("cache_key", *PERSONA_COLUMNS).withColumn("error", F.lit(None).cast("string"))
     if fn is not None:
-        answers = enrich_batched(
-            misses, "cache_key", payload, PERSONA_COLUMNS, fn, batch_size
-        ).withColumnsRenamed({c: f"_{c}" for c in PERSONA_COLUMNS})
-        fresh = fresh.join(answers, "cache_key", "left").withColumns(
-            {c: F.coalesce(f"_{c}", c) for c in PERSONA_COLUMNS}
-        )
-    fresh = fresh.select("cache_key", *PERSONA_COLUMNS)
-    answered = cache.select("cache_key", *PERSONA_COLUMNS).unionByName(fresh)
+        answers = cut_lineage(enrich_batched(misses, "cache_key", payload, PERSONA_COLUMNS, fn, batch_size))
+        fresh = fresh.drop("error").join(answers.withColumnsRenamed({c: f"_{c}" for c in PERSONA_COLUMNS}), "cache_key").select(
+            "cache_key", *[F.coalesce(f"_{c}", c).alias(c) for c in PERSONA_COLUMNS], "error")
+    fresh = cut_lineage(fresh)
+    if store:
+        store.append(fresh.where("error is null"))
+    answered = known.select("cache_key", *PERSONA_COLUMNS).unionByName(fresh.drop("error"))
     return keyed.join(answered, "cache_key", "left"), fresh
 
 
+def failure_count(fresh: DataFrame) -> DataFrame:
+    """One row: requests that were not in the cache, and how many of them failed."""
+    return fresh.agg(F.count("*").alias("n_requests"), F.count("error").alias("n_failed"))
+
+
 def user_profile_text(profiles: DataFrame, stages: DataFrame) -> DataFrame:
     """(user_id, user_text): persona, keywords, motive, categories and stage as one text."""
     parts = [F.coalesce(c, F.lit("")) for c in (*PERSONA_COLUMNS, "major_purchase_categories")]

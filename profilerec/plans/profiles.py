@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,18 @@ from profilerec.functions.rules import age_group, preferred_size
 from profilerec.functions.text import combined_text
 from profilerec.operators import cluster, history, ordering, persona, rfm, textmine, vectors
 from profilerec.session import cut_lineage
+from profilerec.sources.enrichment import EnrichmentStore
 from profilerec.sources.tables import PRODUCT_TEXTS
 
 
 def customer_profiles(
-    customers: DataFrame, interactions: DataFrame, products: DataFrame, n_init: int = 10
+    customers: DataFrame, interactions: DataFrame, products: DataFrame, n_init: int = 10,
+    store: EnrichmentStore | None = None, model: Callable | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Customer rows with segment, history and persona columns, and the RFM table behind them.
 
-    Of several rows of one customer one counts.
+    Of several rows of one customer one counts. With ``store``, personas come from the stored answers,
+    then from ``model``, then from the template, and new answers are stored.
     """
     customers = ordering.one_per_key(customers, "user_id")
     users, _curve = rfm.behavior_clusters(cut_lineage(rfm.assemble_rfm(interactions, customers)), n_init=n_init)
@@ -30,7 +35,13 @@ def customer_profiles(
         .join(scored, "user_id", "left").join(taste, "user_id", "left")
         .fillna({"behavior_cluster_label": "Unclassified", "major_purchase_categories": "", "purchase_history_preview": ""})
     )
-    return persona.persona_text(joined).drop("items"), scored
+    if store is None and model is None:
+        return persona.persona_text(joined).drop("items"), scored
+    known = customers.sparkSession.createDataFrame([], persona.CACHE_SCHEMA) if store is None else store
+    if "gender" not in joined.columns:
+        joined = joined.withColumn("gender", F.lit(None).cast("string"))
+    people, _fresh = persona.personas_with_cache(cut_lineage(joined), known, model)
+    return people.drop("items", "cache_key"), scored
 
 
 def product_profiles(products: DataFrame, method: str = "density", vectors_of=None, **options) -> DataFrame:
