@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from profilerec.catalog.recommending import IBCF, POP, RT, SEEN, ev_profiles, ev_stages
+from profilerec.catalog.recommending import IBCF_PADDED, POP, RT, SEEN, ev_profiles, ev_stages
 from profilerec.catalog.registry import EV, PROD, register
 from profilerec.catalog.textual import tagged_products
 from profilerec.operators import cf, evaluate, history, ordering
@@ -16,13 +16,13 @@ SPLIT = f"""{EV}, sp AS (SELECT *, CASE WHEN total < 2 OR rn <= least(greatest(1
   THEN 'train' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
   count(*) OVER (PARTITION BY user_id) AS total FROM ev)), train AS (SELECT * FROM sp WHERE split = 'train'),
 truth AS (SELECT DISTINCT user_id, product_id FROM sp WHERE split = 'test')"""
-LISTS = f"""{SPLIT}, {RT.format(log='train')}, {SEEN.format(log='train')}, {POP.format(log='train')}, {IBCF},
+LISTS = f"""{SPLIT}, {RT.format(log='train')}, {SEEN.format(log='train')}, {POP.format(log='train')}, {IBCF_PADDED},
 us AS (SELECT DISTINCT user_id FROM train),
 recs AS (SELECT 'Most Popular' AS model, user_id, product_id, rank FROM (SELECT us.user_id, pop.product_id, row_number() OVER
   (PARTITION BY us.user_id ORDER BY pop_rank) AS rank FROM us, pop ANTI JOIN seen
   ON seen.user_id = us.user_id AND seen.product_id = pop.product_id) WHERE rank <= 10
 UNION ALL SELECT 'IBCF', user_id, product_id, rank FROM (SELECT *, row_number() OVER
-  (PARTITION BY user_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM ib) WHERE rank <= 10)"""
+  (PARTITION BY user_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM ibp) WHERE rank <= 10)"""
 METRICS = f"""{LISTS}, nrel AS (SELECT user_id, count(*) AS n_rel FROM truth GROUP BY 1),
 ppop AS (SELECT product_id, n / sum(n) OVER () AS popularity FROM pop),
 um AS (SELECT model, user_id, count(t.product_id) / 10.0::DOUBLE AS precision,

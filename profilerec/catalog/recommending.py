@@ -25,6 +25,10 @@ sim AS (SELECT product_a, product_b, dot / (la.len * lb.len) AS sim FROM (SELECT
 ib AS (SELECT user_id, product_id, score FROM (SELECT r.user_id, product_b AS product_id,
   sum(sim * rating) AS score FROM rt r JOIN sim ON r.product_id = product_a GROUP BY 1, 2)
   ANTI JOIN rt USING (user_id, product_id))"""
+# Lists of raters filled with items of score 0.
+IBCF_PADDED = f"""{IBCF}, ibp AS (SELECT user_id, product_id, score FROM ib UNION ALL SELECT user_id, product_id, 0.0::DOUBLE AS score
+  FROM (SELECT DISTINCT user_id FROM rt), (SELECT DISTINCT product_id FROM rt)
+  ANTI JOIN ib USING (user_id, product_id) ANTI JOIN rt USING (user_id, product_id))"""
 BIAS = """mu AS (SELECT avg(rating) AS m FROM rt),
 bi AS (SELECT product_id, sum(rating - m) / (count(*) + 0.02::DOUBLE) AS b FROM rt, mu GROUP BY 1),
 bu AS (SELECT user_id, sum(rating - m - b) / (count(*) + 0.02::DOUBLE) AS b FROM rt JOIN bi USING (product_id), mu GROUP BY 1),
@@ -126,7 +130,7 @@ def _(spark, sf):
     return rounded(cf.item_similarity(ev_pairs(spark, sf), block_rows=64), "sim")
 
 
-@register("recommend_ibcf", f"WITH {EV}, {EV_RT}, {IBCF} {topk_sql('ib', 10)}")
+@register("recommend_ibcf", f"WITH {EV}, {EV_RT}, {IBCF_PADDED} {topk_sql('ibp', 10)}")
 def _(spark, sf):
     pairs = ev_pairs(spark, sf)
     recs = cf.recommend_ibcf(pairs.select("user_id").distinct(), pairs, 10)

@@ -173,8 +173,28 @@ def ibcf_scores(
 
 
 def recommend_ibcf(users: DataFrame, pairs: DataFrame, k: int, seen: DataFrame | None = None, **options) -> DataFrame:
+    """(user_id, product_id, score, rank): the ``k`` best items a user has neither rated nor ``seen``.
+
+    A user with ratings whose items have fewer neighbours gets the remaining places filled with
+    items of score 0, in the order of their ids. Users without ratings have no list.
+    """
     scored = ibcf_scores(pairs, **options).join(users.select("user_id"), "user_id", "left_semi")
-    return topk_per_user(exclude_seen(scored, seen), k)
+    columns = ["user_id", "product_id", "score", "rank"]
+    best = cut_lineage(topk_per_user(exclude_seen(scored, seen), k).select(*columns))
+    raters = pairs.select("user_id").distinct().join(users.select("user_id"), "user_id", "left_semi")
+    have = best.groupBy("user_id").agg(F.count("*").cast("int").alias("have"))
+    short = cut_lineage(raters.join(have, "user_id", "left").fillna(0, ["have"]).where(F.col("have") < k))
+    known = [df.select("user_id", "product_id") for df in (pairs, best, *([] if seen is None else [seen]))]
+    taken = known[0]
+    for more in known[1:]:
+        taken = taken.unionByName(more)
+    taken = taken.join(short.select("user_id"), "user_id", "left_semi").distinct()
+    by_id = global_row_index(pairs.select("product_id").distinct(), ["product_id"], "pop_rank")
+    filler = recommend_popular(short, by_id.withColumn("pop_rank", F.col("pop_rank") + 1), k, taken)
+    padded = filler.join(short, "user_id").select(
+        "user_id", "product_id", F.lit(0.0).alias("score"), (F.col("rank") + F.col("have")).cast("int").alias("rank")
+    ).where(F.col("rank") <= k)
+    return best.unionByName(padded)
 
 
 def bias_model(pairs: DataFrame, reg: float = 0.02) -> tuple[float, DataFrame, DataFrame]:

@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from profilerec.functions.text import ENGLISH_STOPWORDS, SEPARATOR, words
 from profilerec.operators.blocks import sparse, top_scores
@@ -96,23 +97,22 @@ def frequent_tokens(docs: DataFrame, cluster: str, text: str, limit: int = 7, mi
 def embed_text(
     docs: DataFrame, key: str, text: str, encode: Callable[[list[str]], np.ndarray] | None = None,
     dims: int = 256, batch_size: int = 96, stopwords: Sequence[str] = ENGLISH_STOPWORDS,
+    load: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
 ) -> DataFrame:
-    """(key, embedding array<float>).
+    """(key, embedding array<float>); a null text counts as empty.
 
-    ``encode`` maps a list of texts to a matrix and is called in batches inside the tasks. Without
-    it, words are hashed to ``dims`` columns and scaled to unit length.
+    ``load`` makes a model, a function from a list of texts to a matrix; each Python worker calls it
+    once and keeps the model for all its batches of ``batch_size`` texts. A light function that needs
+    no loading may be given as ``encode``. Without both, words are hashed to ``dims`` columns and
+    scaled to unit length.
     """
-    if encode is not None:
-        def run(batches):
-            for pdf in batches:
-                for start in range(0, len(pdf), batch_size):
-                    part = pdf.iloc[start:start + batch_size]
-                    matrix = np.asarray(encode(part["text"].tolist()), dtype=np.float32)
-                    yield pd.DataFrame({key: part[key].to_numpy(), "embedding": list(matrix)})
-
-        return docs.select(F.col(key).cast("string").alias(key), F.col(text).alias("text")).mapInPandas(
-            run, f"{key} string, embedding array<float>"
-        )
+    if load is not None or encode is not None:
+        def make():
+            model = load() if load is not None else encode
+            return lambda texts: np.asarray(model([str(t) for t in texts]), dtype=np.float32)
+
+        vector = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch_size)
+        return docs.select(F.col(key).cast("string").alias(key), vector(F.coalesce(F.col(text), F.lit(""))).alias("embedding"))
     tokens = F.filter(words(F.col(text)), lambda t: ~F.array_contains(F.array(*[F.lit(s) for s in stopwords]), t))
     hashed = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dims).transform(
         docs.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("_tokens"))

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from profilerec.operators import augment, blocks, cf, clean, cluster, evaluate, history, journey, lambdamart, ordering, persona, rank, stats, vectors
+from profilerec.operators import augment, blocks, cf, clean, cluster, evaluate, history, journey, lambdamart, ordering, persona, rank, stats, textmine, vectors
 from profilerec.operators.skew import join_per_key
 from profilerec.plans import recommend as plan
 
@@ -376,3 +377,45 @@ def test_fill_in_one_slice(spark):
 def test_one_row_per_key(spark):
     df = spark.createDataFrame([(1, "b", [1]), (1, "a", [2]), (2, None, None)], "k int, v string, w array<int>")
     assert sorted((r["k"], r["v"]) for r in ordering.one_per_key(df, "k").collect()) == [(1, "a"), (2, None)]
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    loads, calls = tmp_path / "loads", tmp_path / "calls"
+    loads.mkdir()
+    calls.mkdir()
+
+    def mark(folder):
+        import uuid
+
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+
+    def load():
+        mark(loads)
+
+        def model(texts):
+            mark(calls)
+            return [[float(len(t)), float(t.count("a")), 1.0] for t in texts]
+
+        return model
+
+    docs = spark.createDataFrame([(i, None if i == 7 else "a" * i + "b") for i in range(400)], "id int, text string").repartition(6)
+    got = {int(r["id"]): r["embedding"] for r in textmine.embed_text(docs, "id", "text", load=load, batch_size=10).collect()}
+    assert len(got) == 400 and got[7] == [0.0, 0.0, 1.0] and all(got[i] == [i + 1.0, float(i), 1.0] for i in got if i != 7)
+    workers = [p.name.split("-")[0] for p in loads.iterdir()]
+    assert len(workers) == len(set(workers)) and len(list(calls.iterdir())) >= 40 > len(workers)
+    light = textmine.embed_text(docs, "id", "text", encode=lambda texts: [[len(t)] for t in texts])
+    assert {int(r["id"]): r["embedding"][0] for r in light.collect()}[9] == 10.0
+
+
+def test_short_neighbour_lists_are_filled(spark):
+    pairs = spark.createDataFrame(
+        [("u", "a", 1.0), ("v", "a", 3.0), ("v", "c", 5.0), ("w", "e", 1.0)] + [("x", p, 1.0) for p in "bdf"], "user_id string, product_id string, rating double")
+    users = spark.createDataFrame([("u",), ("v",), ("w",), ("x",), ("new",)], "user_id string")
+    seen = spark.createDataFrame([("u", "b")], "user_id string, product_id string")
+    lists = {}
+    for r in sorted(cf.recommend_ibcf(users, pairs, 3, seen).collect(), key=lambda r: (r["user_id"], r["rank"])):
+        lists.setdefault(r["user_id"], []).append((r["product_id"], r["score"] > 0, r["rank"]))
+    assert lists == {
+        "u": [("c", True, 1), ("d", False, 2), ("e", False, 3)], "v": [("b", False, 1), ("d", False, 2), ("e", False, 3)],
+        "w": [("a", False, 1), ("b", False, 2), ("c", False, 3)], "x": [("a", False, 1), ("c", False, 2), ("e", False, 3)],
+    }
