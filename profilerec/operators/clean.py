@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilerec.functions.ids import UNKNOWN_PRODUCT, canonical_event_type, normalize_product_id, normalize_user_id
 from profilerec.functions.rules import tercile
-from profilerec.operators.ordering import global_row_index
+from profilerec.operators.ordering import free_names, global_row_index
+from profilerec.operators.skew import join_hot
 from profilerec.operators.stats import exact_quantiles, medians
+from profilerec.session import cut_lineage
 
 
 def clean_headers(df: DataFrame) -> DataFrame:
@@ -91,28 +93,75 @@ def clip_quantiles(df: DataFrame, cols: Sequence[str], low: float = 0.01, high:
     )
 
 
-def label_codes(df: DataFrame, col: str) -> DataFrame:
-    """(value, code): alphabetical codes from 0."""
-    values = df.select(F.col(col).cast("string").alias("value")).where("value IS NOT NULL").distinct()
-    return global_row_index(values, ["value"], "code").select("value", F.col("code").cast("int").alias("code"))
+#: A dictionary of at most so many values becomes an expression, and a larger one of at most so many a broadcast table.
+MAP_VALUES = 256
+BROADCAST_VALUES = 100_000
+
+
+def dictionary(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(name, value): the distinct values of all ``columns`` from one pass, without nulls."""
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("string").alias("value")) for n, c in columns.items()])
+    return df.select(F.explode(entries).alias("e")).select("e.*").where("value IS NOT NULL").distinct()
+
+
+def with_codes(df: DataFrame, values: DataFrame, columns: dict[str, tuple[Column, str]], default: int | None = None) -> DataFrame:
+    """Adds alphabetical codes from 0: ``columns`` maps a name in ``values`` to (column of ``df``, name of the code).
+
+    A value without a code gets ``default``. Small dictionaries are looked up in place; one that is
+    too large to broadcast is joined with its frequent values salted.
+    """
+    values = cut_lineage(values)
+    sizes = {r["name"]: r["count"] for r in values.groupBy("name").count().collect()}
+    small = [n for n in columns if sizes.get(n, 0) <= MAP_VALUES]
+    # At most MAP_VALUES rows a column.
+    listed: dict[str, list[str]] = {n: [] for n in small}
+    for r in values.where(F.col("name").isin(small)).orderBy("name", "value").collect():
+        listed[r["name"]].append(r["value"])
+    looked_up = {}
+    for n in small:
+        value, code = columns[n]
+        pairs = [F.lit(x) for i, v in enumerate(listed[n]) for x in (v, i)]
+        found = F.create_map(*pairs)[value.cast("string")] if pairs else F.lit(None)
+        looked_up[code] = F.coalesce(found, F.lit(default)).cast("int")
+    df = df.withColumns(looked_up) if looked_up else df
+    for n, (value, code) in columns.items():
+        if n in listed:
+            continue
+        key, number = free_names(df.columns, "value", "code")
+        codes = global_row_index(values.where(F.col("name") == n).select(F.col("value").alias(key)), [key], number)
+        rows = df.withColumn(key, value.cast("string"))
+        if sizes[n] <= BROADCAST_VALUES:
+            joined = rows.join(F.broadcast(codes), key, "left")
+        else:
+            weights = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+            unknown = weights.join(codes, key, "left_anti").select(key, F.lit(None).cast("bigint").alias(number))
+            joined = join_hot(rows.where(F.col(key).isNotNull()), codes.unionByName(unknown), key, weights, "n", df.columns)
+            joined = joined.unionByName(rows.where(F.col(key).isNull()).withColumn(number, F.lit(None).cast("bigint")))
+        df = joined.withColumn(code, F.coalesce(number, F.lit(default)).cast("int")).drop(key, number)
+    return df
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    for c in cols:
-        codes = label_codes(df, c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_encoded"))
-        df = df.join(codes, c, "left")
-    return df
+    """Adds ``<col>_encoded`` for every column: alphabetical codes from 0; null stays null."""
+    return with_codes(df, dictionary(df, {c: F.col(c) for c in cols}), {c: (F.col(c), f"{c}_encoded") for c in cols})
+
+
+def _or_unknown(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("string"), F.lit("unknown"))
 
 
 def factorize(df: DataFrame, col: str, source: DataFrame | None = None) -> DataFrame:
     """Adds ``<col>_encoded``: codes learned from ``source``; null is ``unknown``, unseen is 0."""
-    known = (source if source is not None else df).select(F.coalesce(F.col(col), F.lit("unknown")).alias(col))
-    codes = label_codes(known, col).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    return (
-        df.join(codes, F.coalesce(F.col(col), F.lit("unknown")) == F.col("_value"), "left")
-        .withColumn(f"{col}_encoded", F.coalesce("_code", F.lit(0)))
-        .drop("_value", "_code")
-    )
+    return factorize_all(df, {col: f"{col}_encoded"}, [(df if source is None else source, [col])])
+
+
+def factorize_all(df: DataFrame, codes: dict[str, str], sources: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """:func:`factorize` of many columns (column: name of its code) with one pass over each source table."""
+    values = None
+    for source, cols in sources:
+        found = dictionary(source, {c: _or_unknown(c) for c in cols})
+        values = found if values is None else values.unionByName(found)
+    return with_codes(df, values, {c: (_or_unknown(c), code) for c, code in codes.items()}, 0)
 
 
 def standard_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from profilerec.functions.rules import cf_weight, llm_weight
 from profilerec.functions.text import keyword_overlap
 from profilerec.operators.blocks import top_scores
 from profilerec.operators.cf import exclude_seen, topk_per_user
-from profilerec.operators.clean import factorize, tercile_bucket
+from profilerec.operators.clean import factorize_all, tercile_bucket
 from profilerec.operators.stats import medians
 from profilerec.session import cut_lineage
 
@@ -135,12 +135,8 @@ def candidate_features(
             ),
         }
     )
-    learned_from = {
-        "journey_stage": stages.withColumnRenamed("current_journey_stage", "journey_stage"),
-        "behavior_cluster_label": users, "age_group": users, "gender": users,
-    }
-    for source, code in ENCODED.items():
-        rows = factorize(rows, source, learned_from[source]).withColumnRenamed(f"{source}_encoded", code)
+    stage = stages.withColumnRenamed("current_journey_stage", "journey_stage")
+    rows = factorize_all(rows, ENCODED, [(stage, ["journey_stage"]), (users, ["behavior_cluster_label", "age_group", "gender"])])
     return rows.drop("spend", "spend_bucket", "price_bucket", "preferred_cluster", "interest_keywords", "tfidf_keywords")
 
 

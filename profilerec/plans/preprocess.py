@@ -59,7 +59,7 @@ def augment_all(
     customers: DataFrame, products: DataFrame, interactions: DataFrame, order: str, n_copies: int = 2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables with ``n_copies`` noisy copies of every row, numbered by copy_id."""
-    labels = [r["value"] for r in clean.label_codes(interactions, "event_type").orderBy("code").collect()]
+    labels = [r["value"] for r in clean.dictionary(interactions, {"event_type": F.col("event_type")}).orderBy("value").collect()]
     return (
         augment.augment_gaussian(customers, _present(customers, CUSTOMER_NUMBERS), ["user_id"], n_copies=n_copies, seed=seed),
         augment.augment_gaussian(products, _present(products, ("price", "quantity")), ["product_id"], n_copies=n_copies, seed=seed),

@@ -419,3 +419,28 @@ def test_short_neighbour_lists_are_filled(spark):
         "u": [("c", True, 1), ("d", False, 2), ("e", False, 3)], "v": [("b", False, 1), ("d", False, 2), ("e", False, 3)],
         "w": [("a", False, 1), ("b", False, 2), ("c", False, 3)], "x": [("a", False, 1), ("c", False, 2), ("e", False, 3)],
     }
+
+
+@pytest.mark.parametrize("most_mapped, most_broadcast", [(256, 100_000), (2, 100_000), (2, 3)])
+def test_codes_are_the_same_by_map_broadcast_and_salted_join(spark, monkeypatch, most_mapped, most_broadcast):
+    monkeypatch.setattr(clean, "MAP_VALUES", most_mapped)
+    monkeypatch.setattr(clean, "BROADCAST_VALUES", most_broadcast)
+    values = ["é", "a", "B", "", None, "a", "unknown", "zz", "b"]
+    rows = [(i, values[i % len(values)] if i > 60 else "a", i % 2) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, value string, code int")
+    order = sorted({v for _, v, _ in rows if v is not None}, key=lambda v: v.encode())
+    got = {r["id"]: r for r in clean.label_encode(df, ["value", "code"]).collect()}
+    assert len(got) == 150
+    for i, v, c in rows:
+        assert (got[i]["value"], got[i]["code"], got[i]["code_encoded"]) == (v, c, c)
+        assert got[i]["value_encoded"] == (None if v is None else order.index(v))
+    known = df.where("value <> 'zz' or value is null")
+    learned = sorted({"unknown" if v is None else v for _, v, _ in rows if v != "zz"}, key=lambda v: v.encode())
+    coded = {r["id"]: r["value_encoded"] for r in clean.factorize(df, "value", known).collect()}
+    assert coded == {i: learned.index(v or ("unknown" if v is None else "")) if v != "zz" else 0 for i, v, _ in rows}
+
+
+def test_small_dictionaries_move_no_rows(spark):
+    df = spark.range(1000).selectExpr("id", "cast(id % 5 as string) as c", "cast(id % 3 as string) as d")
+    text = clean.label_encode(df, ["c", "d"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Join" not in text
