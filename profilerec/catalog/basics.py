@@ -49,6 +49,28 @@ def _(spark, sf):
     return tables.json_map(per_cluster, "major_cluster", ["categories", "n"])
 
 
+@register("csv_roundtrip", f"""
+WITH {PROD} SELECT product_id, name || chr(10) || '"' || category || '", x' AS name, price FROM prod""")
+def _(spark, sf):
+    """Quotes, commas and line breaks survive a CSV file."""
+    text = F.concat("name", F.lit('\n"'), "category", F.lit('", x')).alias("name")
+    path = scratch_path(spark, "products-csv")
+    tables.write_table(A.products(spark, sf).select("product_id", text, "price"), path, "csv")
+    return tables.read_table(spark, path, "csv", "product_id string, name string, price double")
+
+
+@register("json_sink", f"""
+WITH {PROD} SELECT major_cluster, list_aggregate(list_sort(list(DISTINCT category)), 'string_agg', ',') AS categories, count(*) AS n
+FROM prod GROUP BY 1""")
+def _(spark, sf):
+    per_cluster = A.products(spark, sf).groupBy("major_cluster").agg(
+        F.array_sort(F.collect_set("category")).alias("categories"), F.count("*").alias("n"))
+    path = scratch_path(spark, "clusters-json")
+    tables.write_json_map(per_cluster, path, "major_cluster", ["categories", "n"])
+    back = tables.read_table(spark, path, "json", per_cluster.schema)
+    return back.withColumn("categories", F.array_join("categories", ","))
+
+
 @register("enrichment_cache", f"""
 WITH {EV}, {CUST}, keyed AS (SELECT user_id, sha256(to_json({{'kind': 'customer_persona',
   'payload': {{'category': category, 'gender': gender, 'size': size}}}})::VARCHAR) AS cache_key FROM cust),

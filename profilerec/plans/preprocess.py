@@ -33,10 +33,15 @@ def clean_customers(raw: DataFrame) -> DataFrame:
 
 
 def clean_products(raw: DataFrame) -> DataFrame:
+    """Renamed, typed, filled and distinct products: missing quantities take the median, missing texts are empty.
+
+    The price is money text in the source, so a missing one stays missing.
+    """
     df = clean.rename_columns(clean.clean_headers(raw), PRODUCT_COLUMNS)
     df = df.withColumn("product_id", normalize_product_id(F.col("product_id")))
     money = _present(df, ("price", "quantity"))
     df = df.withColumns({c: parse_money(F.col(c)) for c in money})
+    df = clean.impute_median(df, _present(df, ("quantity",)))
     return clean.drop_duplicates(df.fillna("", _present(df, PRODUCT_TEXTS)))
 
 
