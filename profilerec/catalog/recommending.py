@@ -27,7 +27,7 @@ ib AS (SELECT user_id, product_id, score FROM (SELECT r.user_id, product_b AS pr
   ANTI JOIN rt USING (user_id, product_id))"""
 # Lists of raters filled with items of score 0.
 IBCF_PADDED = f"""{IBCF}, ibp AS (SELECT user_id, product_id, score FROM ib UNION ALL SELECT user_id, product_id, 0.0::DOUBLE AS score
-  FROM (SELECT DISTINCT user_id FROM rt), (SELECT DISTINCT product_id FROM rt)
+  FROM (SELECT DISTINCT user_id FROM rt) CROSS JOIN (SELECT DISTINCT product_id FROM rt)
   ANTI JOIN ib USING (user_id, product_id) ANTI JOIN rt USING (user_id, product_id))"""
 BIAS = """mu AS (SELECT avg(rating) AS m FROM rt),
 bi AS (SELECT product_id, sum(rating - m) / (count(*) + 0.02::DOUBLE) AS b FROM rt, mu GROUP BY 1),
