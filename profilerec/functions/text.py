@@ -13,9 +13,9 @@ TERM_PATTERN = r"[a-zA-Z][a-zA-Z0-9+\-]{2,}"
 
 # Words never used as a keyword.
 KEYWORD_STOPWORDS = (
-    "and for with from this that into your their have been more less very also about "
-    "product products category categories item items shopper customer users user"
-).split()
+    "and", "for", "with", "from", "this", "that", "into", "your", "their", "have", "been", "more", "less", "very", "also", "about",
+    "product", "products", "category", "categories", "item", "items", "shopper", "customer", "users", "user",
+)
 
 # Common English words left out of term weights unless the caller passes another list.
 ENGLISH_STOPWORDS = (

@@ -14,6 +14,7 @@ from profilerec.operators.clean import factorize_all, tercile_bucket
 from profilerec.operators.stats import medians
 from profilerec.session import cut_lineage
 
+# Names of the candidate features and of their codes, and the weights of the simple mix.
 FEATURE_COLUMNS = (
     "cf_score", "llm_score", "hybrid_score", "cf_weight", "llm_weight", "behavior_cluster",
     "involvement_diversity", "journey_encoded", "cluster_label_encoded", "age_group_encoded",
