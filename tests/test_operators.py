@@ -444,3 +444,23 @@ def test_small_dictionaries_move_no_rows(spark):
     df = spark.range(1000).selectExpr("id", "cast(id % 5 as string) as c", "cast(id % 3 as string) as d")
     text = clean.label_encode(df, ["c", "d"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Join" not in text
+
+
+def test_scores_meet_in_one_task_for_any_block_size(spark, monkeypatch):
+    """Sums over a user's items are one row per score, and no aggregate of terms follows."""
+    rng = random.Random(9)
+    rated = {(f"u{rng.randrange(30)}", f"p{rng.randrange(25)}"): float(rng.choice([1, 3, 5])) for _ in range(200)}
+    df = spark.createDataFrame([(u, p, r) for (u, p), r in rated.items()], "user_id string, product_id string, rating double")
+    sims = {(r["product_a"], r["product_b"]): r["sim"] for r in cf.item_similarity(df, 7).collect()}
+    want = {}
+    for (u, a), r in rated.items():
+        for (x, b), s in sims.items():
+            if x == a and (u, b) not in rated:
+                want[u, b] = want.get((u, b), 0.0) + s * r
+    for rows, near in [(cf.RATED_ROWS, cf.SIM_ROWS), (20, 50)]:
+        monkeypatch.setattr(cf, "RATED_ROWS", rows)
+        monkeypatch.setattr(cf, "SIM_ROWS", near)
+        scored = cf.ibcf_scores(df)
+        assert "Aggregate" not in scored._jdf.queryExecution().executedPlan().toString()
+        got = {(r["user_id"], r["product_id"]): r["score"] for r in scored.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
