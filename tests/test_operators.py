@@ -4,13 +4,14 @@ import itertools
 import math
 import os
 import random
+import threading
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from profilerec.operators import augment, blocks, cf, clean, cluster, evaluate, history, journey, lambdamart, ordering, persona, rank, stats, textmine, vectors
+from profilerec.operators import augment, blocks, cf, clean, cluster, evaluate, history, journey, lambdamart, ordering, persona, rank, rfm, stats, textmine, vectors
 from profilerec.operators.skew import join_per_key
 from profilerec.plans import recommend as plan
 
@@ -464,3 +465,22 @@ def test_scores_meet_in_one_task_for_any_block_size(spark, monkeypatch):
         assert "Aggregate" not in scored._jdf.queryExecution().executedPlan().toString()
         got = {(r["user_id"], r["product_id"]): r["score"] for r in scored.collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_kmeans_fits_run_side_by_side_over_few_partitions(spark, monkeypatch):
+    parts, meet = [], threading.Barrier(3)
+
+    class Watched(rfm.KMeans):
+        def fit(self, df):
+            parts.append(df.rdd.getNumPartitions())
+            meet.wait(timeout=60)
+            return super().fit(df)
+
+    monkeypatch.setattr(rfm, "KMeans", Watched)
+    df = vectors_of(spark, [(float(i % 5) * 10, float(i)) for i in range(60)]).repartition(20)
+    model, cost = rfm.kmeans(df, 3, n_init=3)
+    assert parts == [1, 1, 1] and cost == min(cost, model.summary.trainingCost) and len(model.clusterCenters()) == 3
+
+
+def vectors_of(spark, rows):
+    return rfm.vectors(spark.createDataFrame(rows, "x double, y double"), ["x", "y"])
