@@ -13,7 +13,7 @@ violators over score bins turn it into calibrated probabilities, and a kind's th
 from which on the probability is at least ``precision``. A kind without enough such spans selects nothing.
 
 Everything up to the final spans is DataFrame expressions on one row at a time, in time that grows with the
-text; the trees are fitted by MLlib on a bounded sample of labelled spans and applied as expressions.
+text; the trees are fitted by MLlib on all labelled spans, equal ones as one weighted row, and applied as expressions.
 
 Defined results: null and empty texts have no spans. Repeated rows are treated alike, other columns are
 kept, and no name of theirs can clash with a working column. Selected spans overlap neither a base span nor
@@ -65,9 +65,8 @@ _CONTEXT = 32
 
 @dataclass(frozen=True)
 class PiiOptions:
-    """``train_rows`` bounds the labelled spans that the trees are fitted on; all texts are searched."""
+    """Size of the trees, and what a kind's threshold has to reach; all labelled spans of all texts are used."""
 
-    train_rows: int = 20_000
     trees: int = 12
     depth: int = 4
     precision: float = 0.95
@@ -259,23 +258,25 @@ def fit(found: DataFrame, options: PiiOptions | None = None) -> Selector:
     """Trees and thresholds from the labelled spans of :func:`search`; without both classes nothing is selected."""
     options = options or PiiOptions()
     spans = found.select(F.explode("labelled").alias("s")).select("s.kind", "s.features", "s.label")
-    key = F.md5(F.concat(F.to_json(F.struct("kind", "features", "label")), F.col("place").cast("string")))
-    # Equal spans count as often as they occur; the place only parts them.
-    chosen = spans.withColumn("place", F.monotonically_increasing_id()).withColumn("key", key).orderBy("key").limit(options.train_rows)
     steps = StepTables(found.sparkSession, "pii")
-    sample = steps.write(chosen.withColumn("held", F.pmod(F.xxhash64("key"), F.lit(4)) == 0), "sample")
-    train = sample.where("not held").select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"))
+    # All spans, equal ones as one row with their number. A quarter of every number is held back; the hash rounds it up or down.
+    counted = spans.groupBy("kind", "features", "label").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64(F.to_json(F.struct("kind", "features", "label"))), F.lit(4))
+    sample = steps.write(counted.withColumn("held", F.floor((F.col("n") + draw) / 4)), "spans")
+    train = sample.where("n > held").select(
+        array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), (F.col("n") - F.col("held")).cast("double").alias("weight"))
     if train.select("label").distinct().count() < 2:
         return Selector(None, dict.fromkeys(KINDS))
-    model = GBTClassifier(maxIter=options.trees, maxDepth=options.depth, stepSize=0.3, seed=options.seed).fit(train)
+    model = GBTClassifier(maxIter=options.trees, maxDepth=options.depth, stepSize=0.3, seed=options.seed, weightCol="weight").fit(train)
     fitted = Selector(model, dict.fromkeys(KINDS))
     cell = F.least(F.floor(fitted.score(F.col("features")) * options.bins), F.lit(options.bins - 1))
-    counts = sample.where("held").groupBy("kind", cell.alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    counts = sample.where("held > 0").groupBy("kind", cell.alias("bin")).agg(
+        F.sum(F.col("label") * F.col("held")).alias("good"), F.sum("held").alias("n"))
     held: dict[str, list] = {k: [] for k in KINDS}
     for r in counts.collect():  # at most bins x kinds rows
         held[r["kind"]].append((int(r["bin"]), int(r["good"]), int(r["n"])))
     fitted.thresholds = {k: lowest_score(held[k], options.bins, options.precision, options.least_held_out) for k in KINDS}
-    steps.drop("sample")
+    steps.drop("spans")
     return fitted
 
 

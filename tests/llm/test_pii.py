@@ -105,3 +105,18 @@ def test_pooled_thresholds():
     assert pii.lowest_score([(0, 0, 9), (9, 2, 2)], 10, 0.95, 5) is None
     assert pii.lowest_score([], 10, 0.95, 5) is None
     assert pii.lowest_score([(2, 1, 9), (3, 9, 9), (4, 8, 9), (5, 0, 9)], 10, 0.7, 5) is None
+
+
+def test_trees_are_fitted_on_all_labelled_spans(spark, monkeypatch):
+    weights = []
+
+    class Watched(pii.GBTClassifier):
+        def fit(self, rows):
+            weights.append(rows.agg(F.sum("weight")).first()[0])
+            return super().fit(rows)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Watched)
+    span = F.struct(F.lit("ip").alias("kind"), F.lit(0).alias("start"), F.lit(7).alias("end"), (F.col("id") % 2).cast("int").alias("label"),
+                    F.array(*[(F.col("id") % 10).cast("double")] * 17).alias("features"))
+    selector = pii.fit(spark.range(40_000).select(F.array(span).alias("labelled")), pii.PiiOptions(trees=2, depth=2))
+    assert weights == [30_000.0] and selector.thresholds["ip"] is not None
