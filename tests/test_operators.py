@@ -477,9 +477,10 @@ def test_kmeans_fits_run_side_by_side_over_few_partitions(spark, monkeypatch):
             return super().fit(df)
 
     monkeypatch.setattr(rfm, "KMeans", Watched)
+    monkeypatch.setattr(rfm, "FIT_ROWS", 30)
     df = vectors_of(spark, [(float(i % 5) * 10, float(i)) for i in range(60)]).repartition(20)
     model, cost = rfm.kmeans(df, 3, n_init=3)
-    assert parts == [1, 1, 1] and cost == min(cost, model.summary.trainingCost) and len(model.clusterCenters()) == 3
+    assert parts == [2, 2, 2] and cost == min(cost, model.summary.trainingCost) and len(model.clusterCenters()) == 3
 
 
 def vectors_of(spark, rows):
