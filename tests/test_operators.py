@@ -147,6 +147,44 @@ def test_top_scores_over_many_blocks(spark):
     assert {(r["user_id"], r["product_id"]) for r in got.collect()} == brute_top(u, v, 6, seen)
 
 
+@pytest.mark.parametrize("pairs", [0, 4])
+def test_top_scores_in_chunks_of_large_blocks(spark, monkeypatch, pairs):
+    """A task takes its blocks in chunks: ties, seen pairs, two rankings and a least score come out as from one matrix."""
+    monkeypatch.setattr(blocks, "PAIRS_PER_TASK", pairs)
+    rng = np.random.default_rng(6)
+    u = {f"u{i}": rng.integers(-1, 2, 3).astype(float) for i in range(40)}
+    v = {f"p{i}": rng.integers(-1, 2, 3).astype(float) for i in range(70)}
+    seen = {(f"u{i}", f"p{j}") for i in range(40) for j in range(70) if (i + j) % 5 == 0}
+    rankings = [{"a": 1.0}, {"a": 0.5, "b": -0.25}]
+
+    def frame(m, key):
+        return spark.createDataFrame([(k, x.tolist()) for k, x in m.items()], f"{key} string, x array<double>").select(
+            key, blocks.dense(F.col("x")).alias("a"), blocks.dense(F.transform("x", lambda y: y * y)).alias("b"))
+
+    for least in (None, 0.0):
+        want = set()
+        for weights in rankings:
+            for p, x in u.items():
+                total = [(-round(weights["a"] * (x @ y) + weights.get("b", 0.0) * ((x * x) @ (y * y)), 9), q) for q, y in v.items() if (p, q) not in seen]
+                want |= {(p, q) for t, q in sorted(total)[:5] if least is None or -t > least}
+        got = blocks.top_scores(
+            frame(u, "user_id"), frame(v, "product_id"), {"a": 3, "b": 3}, rankings, 5,
+            seen=spark.createDataFrame(list(seen), "user_id string, product_id string"), min_score=least, block_rows=9).collect()
+        assert {(r["user_id"], r["product_id"]) for r in got} == want and len(got) == len(want)
+        assert all(r["a"] == u[r["user_id"]] @ v[r["product_id"]] for r in got)
+
+
+def test_blocks_repeat_few_rows():
+    """Rows sent: every row of a side once per block of the other."""
+    sent = lambda grid, n, m: n * grid[1] + m * grid[0]
+    n, m = 900_000, 1_200_000
+    assert sent(blocks.block_grid(n, m, 2048, 65536, 800), n, m) < 0.1 * sent((-(-n // 2048), -(-m // 2048)), n, m)
+    left, right = blocks.block_grid(90_000, 100, 2048, 65536, 800)
+    assert (left, right) == (44, 1) and blocks.block_grid(0, 5, 2048, 65536, 800) == (1, 1)
+    left, right = blocks.block_grid(n, m, 2048, 65536, 800)
+    assert left * right >= 252 and -(-n // left) <= 65536 and -(-m // right) <= 65536
+
+
 def test_item_similarity_equals_cosines_for_any_block_size(spark):
     rng = random.Random(2)
     rows = list({(f"u{rng.randrange(30)}", f"p{rng.randrange(25)}"): float(rng.choice([1, 3, 5])) for _ in range(400)}.items())
