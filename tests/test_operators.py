@@ -174,6 +174,18 @@ def test_top_scores_in_chunks_of_large_blocks(spark, monkeypatch, pairs):
         assert all(r["a"] == u[r["user_id"]] @ v[r["product_id"]] for r in got)
 
 
+def test_nmf_keeps_the_ratings_of_a_user_in_one_file(spark, monkeypatch):
+    """So a round sends one vector per user, not one per rating."""
+    written, write = [], cf.cut_lineage
+    monkeypatch.setattr(cf, "cut_lineage", lambda df, *name: written.append(write(df, *name)) or written[-1])
+    rng = random.Random(4)
+    rows = [(f"u{i}", f"p{j}", float(rng.choice([1, 3, 5]))) for i in range(40) for j in range(30) if rng.random() < 0.5]
+    pairs = spark.createDataFrame(rows, "user_id string, product_id string, rating double").repartition(4)
+    _, _, _, losses = cf.nmf(pairs, rank=2, iterations=2, check_every=1)
+    files = written[0].select("user_id", F.input_file_name().alias("file")).distinct().collect()
+    assert len(files) == len({r["user_id"] for r in files}) == 40 and losses[1] <= losses[0] and written[0].count() == len(rows)
+
+
 def test_blocks_repeat_few_rows():
     """Rows sent: every row of a side once per block of the other."""
     sent = lambda grid, n, m: n * grid[1] + m * grid[0]
