@@ -174,6 +174,29 @@ def test_top_scores_in_chunks_of_large_blocks(spark, monkeypatch, pairs):
         assert all(r["a"] == u[r["user_id"]] @ v[r["product_id"]] for r in got)
 
 
+def test_knn_copies_rows_a_slice_at_a_time(spark, monkeypatch):
+    """With wide bounds every row reaches every cell; no frame of copies holds more than the pairs of one slice."""
+    monkeypatch.setattr(cluster, "REACH_PAIRS", 40)
+    rng = np.random.default_rng(8)
+    rows = {str(i): rng.random(12) for i in range(120)}
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in rows.items()], "key string, vec array<double>")
+    sizes, own = [], type(df).mapInPandas
+
+    def watched(self, fn, schema, *rest):
+        if "tile" in str(schema):
+            batches = [self.toPandas()]
+            sizes.extend(len(part) for part in fn(iter(batches)))
+        return own(self, fn, schema, *rest)
+
+    monkeypatch.setattr(type(df), "mapInPandas", watched)
+    got = {}
+    for r in cluster.knn(df, 3, cell_rows=10).collect():
+        got.setdefault(r["key"], set()).add(r["other"])
+    for k, x in rows.items():
+        assert got[k] == set(sorted((o for o in rows if o != k), key=lambda o: (round(float(np.linalg.norm(x - rows[o])), 9), o))[:3])
+    assert len(sizes) > 1 and max(sizes) <= 40 < sum(sizes)
+
+
 def test_nmf_keeps_the_ratings_of_a_user_in_one_file(spark, monkeypatch):
     """So a round sends one vector per user, not one per rating."""
     written, write = [], cf.cut_lineage
