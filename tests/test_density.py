@@ -1,10 +1,11 @@
 """The density hierarchy against its definition on the full matrix of mutual reachability."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from profilerec.operators import cluster
+from profilerec.operators import cluster, density
 
 
 def parts_below(w, rows, limit):
@@ -92,6 +93,41 @@ def test_many_blocks_and_rounds_give_the_same(spark, x):
     assert label_sets(many) == plain_clusters(x, 4, 3)
 
 
+def test_parts_on_a_line_fall_out_of_their_cluster_at_once(spark, monkeypatch):
+    """Equal distances and names that rise along the line: every part points at the one before it."""
+    x = np.concatenate([np.stack([np.full(n, 1e5 * i), np.arange(n)], axis=1) for i, n in enumerate((60, 40, 3))])
+    rows = [(f"{i:03d}", v.tolist()) for i, v in enumerate(x)]
+    rounds, chains = [], density._chains
+    monkeypatch.setattr(density, "_chains", lambda *given: rounds.append(1) or chains(*given))
+    df = spark.createDataFrame(rows, "product_id string, reduced array<double>")
+    assert label_sets(cluster.density_cluster(df, 4, 2, local_edges=0)) == {frozenset(range(60)), frozenset(range(60, 100))}
+    assert len(rounds) <= 4
+
+
+def test_long_cells_meet_only_where_they_lie_side_by_side(spark):
+    """The balls of cells of two long lines always touch, their boxes only do next to each other."""
+    x = np.concatenate([np.stack([np.full(200, 1e5 * i), np.arange(200.0)], axis=1) for i in range(2)])
+    rows = [(str(c * 5 + i), "0", v.tolist(), 1.0, c, 0) for c in range(80) for i, v in enumerate(x[c * 5 : c * 5 + 5])]
+    own = density._own_trees(spark.createDataFrame(rows, "key string, grp string, vec array<double>, core double, cell int, part int"))
+    pairs = {(r["cell"], r["other"]) for r in density._pairs(own).collect()}
+    assert {(i, i + 40) for i in range(40)} <= pairs and len(pairs) < 500
+
+
+def test_blocks_far_apart_share_their_shortest_edge():
+    rng = np.random.default_rng(5)
+    for gap in (0.0, 1.0, 1e3):
+        sides = []
+        for at, n in ((0.0, 30), (gap, 40)):
+            x = np.round(rng.uniform(at, at + 3, (n, 2)))
+            frame = pd.DataFrame({"grp": "g", "key": [f"{at}-{i}" for i in range(n)], "vec": list(x), "core": rng.integers(0, 2, n).astype(float)})
+            sides.append(frame.assign(top=density._prim(x, frame["core"].to_numpy())[2].max()))
+        top = max(s["top"].iloc[0] for s in sides)
+        got = density._cross_edges(sides[0].assign(top=top), sides[1])
+        whole = density._cross_edges(sides[0].assign(top=np.inf), sides[1])
+        edges = [{(min(r.a, r.b), max(r.a, r.b), r.w) for r in e.itertuples()} for e in (got, whole)]
+        assert edges[0] == edges[1] and len(edges[0]) >= 1
+
+
 def test_labels_do_not_depend_on_the_partitioning(spark):
     df, before, seen = table(spark, blobs(6, 30)), spark.conf.get("spark.sql.shuffle.partitions"), []
     for parts in (1, 7, 64):
