@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import random
+import re
 import threading
 from collections import Counter
 
@@ -558,3 +559,20 @@ def test_kmeans_fits_run_side_by_side_over_few_partitions(spark, monkeypatch):
 
 def vectors_of(spark, rows):
     return rfm.vectors(spark.createDataFrame(rows, "x double, y double"), ["x", "y"])
+
+
+def test_tfidf_moves_texts_not_their_terms_and_spreads_hot_keys(spark):
+    words = "alpha beta gamma delta omega".split()
+    texts = [(i, " ".join(words[(i * j) % 5] for j in range(1 + i % 7))) for i in range(1200)]
+    few = spark.createDataFrame(texts, "doc_id long, text string")
+    plan = textmine.tfidf(few, "doc_id", "text", stopwords=())._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(doc_id#\w+, term|hashpartitioning\(term", plan)
+    many = spark.createDataFrame([*texts, *[(None, t) for _, t in texts[:40]], *[(7, t) for _, t in texts[:30]], (8, None)], few.schema)
+    got = {(r["doc_id"], r["term"]): (r["tf"], round(r["weight"], 9)) for r in textmine.tfidf(many, "doc_id", "text", stopwords=()).collect()}
+    counts = Counter((r["doc_id"], t) for r in many.collect() for t in (r["text"] or "").split())
+    df, rows = Counter(t for _, t in counts), many.count()
+    raw = {(d, t): n * (math.log((rows + 1) / (df[t] + 1)) + 1) for (d, t), n in counts.items()}
+    length = Counter()
+    for (d, _), w in raw.items():
+        length[d] += w * w
+    assert got == {k: (counts[k], round(w / math.sqrt(length[k[0]]), 9)) for k, w in raw.items()}
