@@ -210,6 +210,41 @@ def test_nmf_keeps_the_ratings_of_a_user_in_one_file(spark, monkeypatch):
     assert len(files) == len({r["user_id"] for r in files}) == 40 and losses[1] <= losses[0] and written[0].count() == len(rows)
 
 
+def test_nmf_moves_blocks_and_equals_dense_updates(spark, monkeypatch):
+    """A factor table has one row per block, whatever the number of blocks, and the rounds are those of the whole matrix."""
+    rng = random.Random(9)
+    rows = [(f"u{i}", f"p{j}", float(rng.choice([1, 3, 5]))) for i in range(40) for j in range(25) if rng.random() < 0.4]
+    pairs = spark.createDataFrame([*rows, rows[0], (None, "p1", 5.0), ("u1", None, 1.0)], "user_id string, product_id string, rating double")
+    write = cf.cut_lineage
+    for tile, items_of in ((40, 4), (1 << 16, 1 << 12)):
+        written = []
+        monkeypatch.setattr(cf, "cut_lineage", lambda df, *name: written.append(write(df, *name)) or written[-1])
+        monkeypatch.setattr(cf, "TILE_ROWS", tile)
+        monkeypatch.setattr(cf, "FACTOR_ROWS", items_of)
+        users, items, rank, losses = cf.nmf(pairs, rank=3, iterations=2, check_every=1, tol=-1.0)
+        kept, user_ids, item_ids, _tiles, first_users, first_items, *rounds = written
+        assert all(t.count() == (user_ids, item_ids)[i % 2].count() for i, t in enumerate(rounds)) and len(rounds) == 4
+        assert (user_ids.count() == item_ids.count() == 1) == (tile > 40) and kept.count() == len(rows) + 3
+
+        def dense(ids, factors):
+            found = {}
+            for r in ids.join(factors, "b").collect():
+                found.update(zip(r["keys"], np.array(r["m"]).reshape(-1, rank)))
+            return sorted(found), np.array([found[k] for k in sorted(found)])
+
+        (names, u), (goods, v) = dense(user_ids, first_users), dense(item_ids, first_items)
+        x = np.zeros((len(names), len(goods)))
+        for user, item, r in [*rows, rows[0]]:
+            x[names.index(user), goods.index(item)] += r
+        for _ in range(2):
+            u = u * (x @ v) / np.maximum(u @ (v.T @ v), 1e-12)
+            v = v * (x.T @ u) / np.maximum(v @ (u.T @ u), 1e-12)
+        for key, table, want, ids in (("user_id", users, u, names), ("product_id", items, v, goods)):
+            got = {r[0]: r[1] for r in table.select(key, "vec.val").collect()}
+            assert sorted(got) == ids and np.allclose([got[k] for k in ids], want, rtol=1e-9)
+        assert losses[1] <= losses[0]
+
+
 def test_blocks_repeat_few_rows():
     """Rows sent: every row of a side once per block of the other."""
     sent = lambda grid, n, m: n * grid[1] + m * grid[0]
