@@ -6,6 +6,7 @@ import os
 import random
 import re
 import threading
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -245,6 +246,24 @@ def test_nmf_moves_blocks_and_equals_dense_updates(spark, monkeypatch):
         assert losses[1] <= losses[0]
 
 
+def test_histograms_hold_one_feature_at_a_time():
+    """The split of a leaf makes no array of rows times features, and finds the best cut of the sums."""
+    rng = np.random.default_rng(3)
+    n, n_features = 20_000, 18
+    x, grad, curve = rng.normal(size=(n, n_features)).round(1), rng.normal(size=n), rng.random(n) + 0.1
+    grad += 0.2 * (x[:, 4] > 0.3)
+    grower = lambdamart._Grower(x, lambdamart.LambdaOptions())
+    tracemalloc.start()
+    gain, feature, cell = grower._split(np.arange(n), grad, curve, np.arange(n_features))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * n_features * 8 / 2
+    assert feature == 4 and cell > 0
+    left = x[:, feature] <= grower.edges[feature][cell - 1]
+    parts = [grad[s].sum() ** 2 / curve[s].sum() for s in (left, ~left, left | ~left)]
+    assert abs(gain - (parts[0] + parts[1] - parts[2])) < 1e-6 * gain
+
+
 def test_blocks_repeat_few_rows():
     """Rows sent: every row of a side once per block of the other."""
     sent = lambda grid, n, m: n * grid[1] + m * grid[0]
