@@ -390,6 +390,39 @@ def test_lambdamart_without_a_choice(spark):
     assert lambdamart.training_users(users, 23).count() == 4 and lambdamart.training_users(users, 2).count() == 1
 
 
+def test_lambdamart_fits_all_rows_beyond_one_task(spark):
+    """Rows that do not fit one task are all fitted, by the trees that one task would grow."""
+    schema = "user_id string, product_id string, x double, y double, z double, first double, is_relevant int"
+    rows = ranking_rows(5, 60)
+    # Users of one kind like high x, all others low x: a draw of few users knows one kind only.
+    rows = [(*r[:6], int(r[2] > 0.7 if int(r[0].split("-")[1]) % 2 else r[2] < 0.3 and r[3] > 0.5)) for r in rows]
+    train = spark.createDataFrame(rows, schema).repartition(5)
+
+    def scores(**options):
+        model = lambdamart.fit(train, ["x", "y", "z"], options=lambdamart.LambdaOptions(subsample=1.0, colsample=1.0, **options))
+        return np.array([r["s"] for r in model.predict(train, "s").orderBy("user_id", "product_id").collect()])
+
+    assert np.allclose(scores(rounds=1), scores(rounds=1, train_rows=100), atol=1e-9)
+    # Later trees part where two leaves gain the same.
+    assert np.abs(scores(rounds=5) - scores(rounds=5, train_rows=100)).mean() < 0.03
+    drawn = lambdamart.fit(train, ["x", "y", "z"], options=lambdamart.LambdaOptions(train_rows=100, rounds=5)).nodes.toPandas()
+    assert drawn["tree"].nunique() == 5 and drawn.groupby("tree")["feature"].apply(lambda f: (f < 0).sum()).max() <= 31
+    again = lambdamart.fit(train.repartition(3), ["x", "y", "z"], options=lambdamart.LambdaOptions(train_rows=100, rounds=5)).nodes.toPandas()
+    assert drawn.equals(again)
+
+
+def test_bin_edges_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    x = np.column_stack([
+        rng.normal(size=3000), rng.integers(0, 7, 3000).astype(float), np.where(rng.random(3000) < 0.6, 1.5, rng.random(3000)),
+        np.where(rng.random(3000) < 0.2, np.nan, rng.lognormal(0, 9, 3000)), np.full(3000, np.nan), rng.integers(0, 400, 3000) * 1.0])
+    x[:3, 0] = np.inf, -np.inf, 1e300
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(4)
+    for bins in (3, 255):
+        got = lambdamart.all_bin_edges(rows, x.shape[1], bins)
+        assert all(np.array_equal(g, lambdamart.bin_edges(x[:, f], bins)) for f, g in enumerate(got))
+
+
 def test_gradients_are_those_of_the_pairs():
     rng = np.random.default_rng(4)
     score, label = rng.normal(size=9), np.array([1, 0, 0, 1, 0, 1, 0, 0, 0])
