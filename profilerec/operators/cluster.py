@@ -15,14 +15,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from profilerec.operators import density
-from profilerec.operators.blocks import block_pairs, distances
+from profilerec.operators.blocks import (
+    BLOCK_BYTES, BLOCK_ROWS, MOST_CHUNKS, block_pairs, chunks, distances, euclidean, merge_best, wanted_pairs)
 from profilerec.operators.ordering import free_names, global_row_index, head_per_group
 from profilerec.operators.rfm import kmeans
 from profilerec.session import StepTables, cut_lineage
 
 NOISE = -1
 #: Pairs of a row and a cell that a task holds at once when it looks for cells in reach.
-REACH_PAIRS = 1 << 15
+REACH_PAIRS = 1 << 18
+#: Rows of a part of a cell, of which two meet in one matrix.
+PART_ROWS = 4096
 
 
 def kmeans_clusters(df: DataFrame, k: int | None = None, max_k: int = 166, vector: str = "reduced",
@@ -236,7 +239,7 @@ def knn(points: DataFrame, k: int, group: str | None = None, cell_rows: int = 40
         model = KMeans(k=n_cells, seed=seed, maxIter=10, featuresCol="_v", predictionCol="cell").fit(rows)
         celled, centres = model.transform(rows).drop("_v"), np.array(model.clusterCenters())
     celled = cut_lineage(celled.withColumn("tile", F.concat_ws("/", "grp", F.col("cell").cast("string"))))
-    parts = celled.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(cell_rows)).cast("int").alias("n_parts"))
+    parts = celled.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(max(cell_rows, PART_ROWS))).cast("int").alias("n_parts"))
     sized = celled.join(parts, "tile")
     own_part = F.pmod(F.xxhash64("key"), F.col("n_parts")).cast("int")
     all_parts = F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))
@@ -249,43 +252,98 @@ def knn(points: DataFrame, k: int, group: str | None = None, cell_rows: int = 40
     if centres is None:
         return best.select("key", "other", "distance")
     best = cut_lineage(best)
-    bound = best.where(F.col("rank") == k).select("key", F.col("distance").alias("bound"))
-    with_bound = celled.join(bound, "key", "left").select("key", "vec", "grp", "cell", "bound")
+    found = best.select("key", "other", "distance").unionByName(_nearest_far(celled, best, centres, k, n))
+    return head_per_group(found, ["key"], ["distance", "other"], k).select("key", "other", "distance")
+
+
+def _nearest_far(celled: DataFrame, best: DataFrame, centres: np.ndarray, k: int, n: int) -> DataFrame:
+    """Rows of other cells that may be among the ``k`` nearest of a row, whose own cell gave ``best``.
+
+    Cells lie in blocks of many rows. A row is sent once to every block that holds a cell in its reach, not once per
+    cell, and a block once to every block with rows that ask it; of each pair of blocks only the best rows leave a task.
+    """
+    n_cells, dims = centres.shape
     radius_rows = celled.mapInPandas(
         lambda batches: (
             pd.DataFrame({"cell": b["cell"], "r": np.linalg.norm(np.vstack(b["vec"].to_numpy()) - centres[b["cell"]], axis=1)})
             for b in batches if len(b)
         ), "cell int, r double",
-    ).groupBy("cell").agg(F.max("r").alias("r")).collect()
-    radius = np.zeros(n_cells)
+    ).groupBy("cell").agg(F.max("r").alias("r"), F.count("*").alias("n")).collect()
+    radius, count = np.zeros(n_cells), np.zeros(n_cells)
     for row in radius_rows:
-        radius[row["cell"]] = row["r"]
-
+        radius[row["cell"]], count[row["cell"]] = row["r"], row["n"]
+    most_rows = BLOCK_ROWS * min(MOST_CHUNKS // 2, max(1, BLOCK_BYTES // (8 * dims) // BLOCK_ROWS))
+    n_blocks = max(math.ceil(n / most_rows), min(math.ceil(n / BLOCK_ROWS), math.ceil(math.sqrt(wanted_pairs(celled)))))
+    rows = math.ceil(n / n_blocks)
+    # Cells that follow each other in a block lie near each other along the direction in which centres differ most.
+    spread = centres - centres.mean(axis=0)
+    order = np.argsort(spread @ np.linalg.eigh(spread.T @ spread)[1][:, -1], kind="stable")
+    block = np.zeros(n_cells, np.int64)
+    block[order] = np.r_[0, np.cumsum(count[order])[:-1]] // rows
+    block = np.unique(block, return_inverse=True)[1]
+    bounds = np.searchsorted(block[order], np.arange(block.max() + 1))
     lengths = (centres * centres).sum(1)[None, :]
-    # Where bounds are wide a row reaches every cell, so rows and the copies made of them are taken a slice at a time.
+    # Where bounds are wide a row reaches every cell, so rows are taken a slice at a time.
     step = max(1, REACH_PAIRS // n_cells)
 
-    def reachable(batches):
+    def in_reach(x: np.ndarray, limit: np.ndarray, cell: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + lengths[:, cells] - 2 * x @ centres[cells].T, 0))
+        return (d - radius[None, cells] <= limit[:, None] + 1e-6) & (cell[:, None] != cells[None, :])
+
+    def asking(batches):
         for b in (batch.iloc[low : low + step] for batch in batches for low in range(0, len(batch), step)):
-            x = np.vstack(b["vec"].to_numpy())
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + lengths - 2 * x @ centres.T, 0))
-            limit = b["bound"].fillna(np.inf).to_numpy()[:, None]
-            hit = d - radius[None, :] <= limit + 1e-6
-            hit[np.arange(len(b)), b["cell"].to_numpy()] = False
-            r, c = np.nonzero(hit)
-            yield pd.DataFrame({"key": b["key"].to_numpy()[r], "vec": b["vec"].to_numpy()[r],
-                                "tile": b["grp"].to_numpy()[r].astype(str) + "/" + c.astype(str)})
-
-    more = with_bound.mapInPandas(reachable, "key string, vec array<double>, tile string").join(parts, "tile")
-    # The query side gets its own part number so that one far cell asked by many rows is spread too.
-    spread = F.pmod(F.xxhash64("key"), F.lit(n_cells)).cast("int")
-    far_queries = more.withColumn("part", spread).withColumn("other_part", all_parts).select(
-        "tile", "part", "other_part", "key", "vec")
-    asked = far_queries.select("tile", "part", "other_part").distinct()
-    far_targets = sized.withColumn("other_part", own_part).select("tile", "other_part", "key", "vec").join(
-        asked, ["tile", "other_part"]).select("tile", "part", "other_part", "key", "vec")
-    found = best.select("key", "other", "distance").unionByName(_nearest(far_queries, far_targets, k))
-    return head_per_group(found, ["key"], ["distance", "other"], k).select("key", "other", "distance")
+            hit = in_reach(np.vstack(b["vec"].to_numpy()), b["bound"].fillna(np.inf).to_numpy(), b["cell"].to_numpy(), order)
+            r, c = np.nonzero(np.logical_or.reduceat(hit, bounds, axis=1))
+            yield b.iloc[r].assign(tile=c)
+
+    # A block of cells holds about ``rows`` rows; a large cell makes a larger one, which is cut into parts.
+    home = F.pandas_udf(lambda cell: pd.Series(block[cell]), "int")
+    homes = celled.withColumn("home", home("cell"))
+    sizes = homes.groupBy("grp", "home").agg(F.ceil(F.count("*") / F.lit(most_rows)).cast("int").alias("n_parts"))
+    placed = cut_lineage(homes.join(sizes, ["grp", "home"]).withColumn("home_part", F.pmod(F.xxhash64("key"), F.col("n_parts")).cast("int")).drop("n_parts"))
+    bound = best.where(F.col("rank") == k).select("key", F.col("distance").alias("bound"))
+    asked_by = placed.join(bound, "key", "left").select("key", "vec", "grp", "cell", "bound", "home", "home_part")
+    kinds = "key string, vec array<double>, grp string, cell int, bound double, home int, home_part int, tile int"
+    queries = asked_by.mapInPandas(asking, kinds).join(sizes.withColumnRenamed("home", "tile"), ["grp", "tile"]).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).drop("n_parts")
+    keys = ["grp", "tile", "part", "home", "home_part"]
+    asked = cut_lineage(queries.select(*keys).distinct())
+    targets = placed.select("grp", F.col("home").alias("tile"), F.col("home_part").alias("part"), "key", "vec", "cell").join(asked, ["grp", "tile", "part"])
+    targets = targets.select(*[F.col(c).alias(f"at_{c}") for c in (*keys, "key", "vec", "cell")])
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["key", "other", "distance"])
+        place = np.empty(n_cells, np.int64)
+        place[order] = np.arange(n_cells)
+        b = b.iloc[np.argsort(place[b["at_cell"].to_numpy()], kind="stable")]
+        y, cell = np.vstack(b["at_vec"].to_numpy()).astype(float), b["at_cell"].to_numpy()
+        names = pd.factorize(np.concatenate([a["key"].to_numpy(object), b["at_key"].to_numpy(object)]), sort=True)[0]
+        mine, theirs = names[: len(a)], names[len(a) :]
+        key_of, out = np.argsort(np.argsort(theirs, kind="stable"), kind="stable"), []
+        by_key = b["at_key"].to_numpy()[np.argsort(theirs, kind="stable")]
+        for low, high in chunks(len(a), BLOCK_ROWS):
+            part = a.iloc[low:high]
+            x, limit = np.vstack(part["vec"].to_numpy()).astype(float), part["bound"].fillna(np.inf).to_numpy().copy()
+            best_of = (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros((0, 0)))
+            for start, end in chunks(len(b), BLOCK_ROWS // 4):
+                here = np.unique(cell[start:end])
+                reach = np.flatnonzero(in_reach(x, limit, part["cell"].to_numpy(), here).any(axis=1))
+                d = euclidean(x[reach], y[start:end])
+                np.round(d, 9, out=d)
+                ok = (d <= limit[reach, None]) & (mine[low:high][reach, None] != theirs[None, start:end])
+                ok &= part["cell"].to_numpy()[reach, None] != cell[None, start:end]
+                r, c = np.nonzero(ok)
+                if len(r):
+                    more = (reach[r], key_of[start + c], -d[r, c], np.zeros((len(r), 0)))
+                    best_of, kth = merge_best(best_of, more, k, len(x))
+                    limit = np.minimum(limit, -kth)
+            row, column, score, _ = best_of
+            out.append(pd.DataFrame({"key": part["key"].to_numpy()[row], "other": by_key[column], "distance": -score}))
+        return pd.concat(out, ignore_index=True)
+
+    return queries.groupBy(*keys).cogroup(targets.groupBy(*[f"at_{c}" for c in keys])).applyInPandas(
+        search, "key string, other string, distance double")
 
 
 class DensityHierarchy:

@@ -199,6 +199,39 @@ def test_knn_copies_rows_a_slice_at_a_time(spark, monkeypatch):
     assert len(sizes) > 1 and max(sizes) <= 40 < sum(sizes)
 
 
+def test_knn_sends_a_row_once_per_block_of_cells(spark, monkeypatch):
+    """With wide bounds every row reaches every cell, but cells lie in few blocks; large blocks come in parts."""
+    rng = np.random.default_rng(9)
+    rows = {str(i): rng.random(12) for i in range(150)}
+    group = {k: "a" if int(k) % 3 else "b" for k in rows}
+    df = spark.createDataFrame([(k, x.tolist(), group[k]) for k, x in rows.items()], "key string, vec array<double>, g string")
+    sent, own = [], type(df).mapInPandas
+
+    def watched(self, fn, schema, *rest):
+        if "tile" in str(schema):
+            sent.append(sum(len(part) for part in fn(iter([self.toPandas()]))))
+        return own(self, fn, schema, *rest)
+
+    monkeypatch.setattr(type(df), "mapInPandas", watched)
+
+    def check(blocks: int, **options):
+        got = {}
+        for r in cluster.knn(df, 3, cell_rows=10, **options).collect():
+            got.setdefault(r["key"], set()).add(r["other"])
+        for k, x in rows.items():
+            others = [o for o in rows if o != k and (not options or group[o] == group[k])]
+            assert got[k] == set(sorted(others, key=lambda o: (round(float(np.linalg.norm(x - rows[o])), 9), o))[:3])
+        assert sent.pop() <= blocks * len(rows)
+
+    check(1)
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(cluster, "MOST_CHUNKS", 2)
+    monkeypatch.setattr(cluster, "PART_ROWS", 4)
+    # Ten blocks of fifteen rows, of which a group holds some.
+    check(10)
+    check(10, group="g")
+
+
 def test_nmf_keeps_the_ratings_of_a_user_in_one_file(spark, monkeypatch):
     """So a round sends one vector per user, not one per rating."""
     written, write = [], cf.cut_lineage
