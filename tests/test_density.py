@@ -128,6 +128,22 @@ def test_blocks_far_apart_share_their_shortest_edge():
         assert edges[0] == edges[1] and len(edges[0]) >= 1
 
 
+def test_sets_of_blocks_give_the_edges_of_one_forest():
+    """Pairs of blocks of two sets are searched together; what leaves are fewer edges than rows, with all of the tree among them."""
+    rng = np.random.default_rng(6)
+    x, core = np.round(rng.uniform(0, 4, (160, 2)), 1), rng.integers(0, 3, 160) / 4
+    block = np.repeat(np.arange(8), 20)
+    frame = pd.DataFrame({"grp": "g", "key": [f"{i:03d}" for i in range(160)], "vec": list(x), "core": core})
+    left, right = frame[block < 4].assign(cell=block[block < 4], part=0), frame[block >= 4].assign(other=block[block >= 4], other_part=0)
+    pairs = pd.DataFrame([("g", i, 0, j, 0, np.inf) for i in range(4) for j in range(4, 8)], columns=["grp", "cell", "part", "other", "other_part", "top"])
+    got = density._set_edges(pd.concat([left, pairs]), right)
+    assert len(got) < 160
+    a, b, w = density._prim(x, core)
+    cross = (block[a] < 4) != (block[b] < 4)
+    want = {(min(i, j), max(i, j), v) for i, j, v in zip(a[cross], b[cross], w[cross])}
+    assert want <= {(min(int(r.a), int(r.b)), max(int(r.a), int(r.b)), r.w) for r in got.itertuples()}
+
+
 def test_labels_do_not_depend_on_the_partitioning(spark):
     df, before, seen = table(spark, blobs(6, 30)), spark.conf.get("spark.sql.shuffle.partitions"), []
     for parts in (1, 7, 64):
