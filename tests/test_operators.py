@@ -297,6 +297,26 @@ def test_histograms_hold_one_feature_at_a_time():
     assert abs(gain - (parts[0] + parts[1] - parts[2])) < 1e-6 * gain
 
 
+def test_top_scores_send_few_rows_and_results():
+    """Rows sent and the ``k`` results per left row and block of the right: fewer than with equal bounds for both sides."""
+    n, m, k = 900_000, 1_200_000, 10
+    cost = lambda grid: n * grid[1] * (1 + k / 5) + m * grid[0]
+    left, right = blocks.stream_grid(n, m, 65536, 262144, 2048, 96, k)
+    assert -(-n // left) <= 65536 and -(-m // right) <= 262144 and left * right >= 96
+    assert cost((left, right)) < 0.6 * cost(blocks.block_grid(n, m, 2048, 65536, 96))
+    assert blocks.stream_grid(0, 0, 10, 10, 5, 4, 2) == (1, 1) and blocks.stream_grid(90_000, 100, 16384, 32768, 2048, 96, 30) == (44, 1)
+
+
+def test_biased_mf_drops_the_factors_of_earlier_rounds(spark, monkeypatch):
+    """Shuffled factors of all rounds together would fill the disk: a checkpoint per round lets Spark delete them."""
+    given = []
+    own = cf.ALS
+    monkeypatch.setattr(cf, "ALS", lambda **options: given.append(options) or own(**options))
+    pairs = spark.createDataFrame([(f"u{u}", f"p{(u * 3 + j) % 7}", float(1 + (u + j) % 5)) for u in range(9) for j in range(4)], "user_id string, product_id string, rating double")
+    users, _, dims, _ = cf.biased_mf(pairs, rank=2, iterations=3)
+    assert users.count() == 9 and dims == 4 and given[0]["checkpointInterval"] == 1
+
+
 def test_blocks_repeat_few_rows():
     """Rows sent: every row of a side once per block of the other."""
     sent = lambda grid, n, m: n * grid[1] + m * grid[0]
