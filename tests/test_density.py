@@ -1,5 +1,7 @@
 """The density hierarchy against its definition on the full matrix of mutual reachability."""
 
+import signal
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -128,6 +130,22 @@ def test_blocks_far_apart_share_their_shortest_edge():
         assert edges[0] == edges[1] and len(edges[0]) >= 1
 
 
+def test_a_leaf_born_where_it_joins_an_older_one_belongs_to_it():
+    """The older leaf comes first and is its own home; the search for the other's home has to end there."""
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(10)
+    try:
+        home, nodes = density.dendrogram({0: 1.0, 1: 2.0, 2: 1.5}, [(0, 1, 2.0), (1, 2, 3.0)])
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert home == {0: 0, 1: 0, 2: 2}
+    assert {k: v[:2] for k, v in nodes.items()} == {0: (("join", 1), 3.0), 2: (("join", 1), 3.0), ("join", 1): (None, np.inf)}
+
+
 def test_sets_of_blocks_give_the_edges_of_one_forest():
     """Pairs of blocks of two sets are searched together; what leaves are fewer edges than rows, with all of the tree among them."""
     rng = np.random.default_rng(6)
